@@ -2,11 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from siltstone.llm import simhash, substring
-from siltstone.llm.common import table
+from siltstone.llm import multiset, sharding, simhash, substring
+from siltstone.llm.common import scratch_dir, table
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = f"{scratch_dir(spark)}/siltstone-slots-{uuid.uuid4().hex}"
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=24, store=store)
+    return dealt.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("place").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+        "map_version",
+    )
+
+
+def op3_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multiset.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        multiset.digits(F.col("fp")).alias("fingerprint"),
+        multiset.digits(F.col("edited_fp")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +51,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_sharding": op2_sharding,
+        "op3_multiset": op3_multiset,
         "op6_substring": op6_substring,
         "op9_simhash": op9_simhash,
     }
