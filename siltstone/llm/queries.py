@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from siltstone.llm import bpe, chat, multiset, packing, sharding, simhash, substring
+from siltstone.llm import bpe, chat, multiset, packing, quality, sharding, simhash, substring
 from siltstone.llm.common import scratch_dir, table
 
 
@@ -45,6 +45,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), most=4096, axes=32, neighbours=15)
+    scored = quality.with_score(docs, model)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -80,6 +87,7 @@ def queries() -> dict:
         "op2_sharding": op2_sharding,
         "op3_multiset": op3_multiset,
         "op4_packing": op4_packing,
+        "op5_quality": op5_quality,
         "op6_substring": op6_substring,
         "op7_chat": op7_chat,
         "op8_bpe": op8_bpe,
