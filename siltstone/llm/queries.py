@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from siltstone.llm import bpe, chat, multiset, packing, quality, sharding, simhash, substring
+from siltstone.llm import bpe, chat, multiset, packing, quality, sharding, simhash, substring, wrapper
 from siltstone.llm.common import scratch_dir, table
 
 
@@ -82,6 +82,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict:
     return {
         "op2_sharding": op2_sharding,
@@ -92,6 +97,7 @@ def queries() -> dict:
         "op7_chat": op7_chat,
         "op8_bpe": op8_bpe,
         "op9_simhash": op9_simhash,
+        "op10_wrapper": op10_wrapper,
     }
 
 
