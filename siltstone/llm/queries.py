@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from siltstone.llm import bpe, chat, multiset, packing, quality, sharding, simhash, substring, wrapper
+from siltstone.llm import bpe, chat, multiindex, multiset, packing, quality, sharding, simhash, substring, wrapper
 from siltstone.llm.common import scratch_dir, table
 
 
+def op1_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9, recall=0.99)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = f"{scratch_dir(spark)}/siltstone-slots-{uuid.uuid4().hex}"
     dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=24, store=store)
@@ -89,6 +93,7 @@ def op10_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_multiindex": op1_multiindex,
         "op2_sharding": op2_sharding,
         "op3_multiset": op3_multiset,
         "op4_packing": op4_packing,
