@@ -91,6 +91,12 @@ def op10_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_multiindex": op1_multiindex,
@@ -103,6 +109,7 @@ def queries() -> dict:
         "op8_bpe": op8_bpe,
         "op9_simhash": op9_simhash,
         "op10_wrapper": op10_wrapper,
+        "pipeline": pipeline,
     }
 
 
