@@ -54,17 +54,20 @@ class FMIndex:
         place = np.arange(len(words)) + np.repeat(np.arange(m), lengths)
         text[place] = ids + 1
         self.text, self.first, self.lengths = text, ends - lengths - 1, lengths
-        rank, done, kept = text.copy(), 1, {}
+        rank, done, half, near = text, 1, 1, text
         while done < depth + 1:
-            kept[done] = rank
+            if done <= depth:
+                half, near = done, rank
             rank = self._double(rank, done)
             done *= 2
         order = np.argsort(rank, kind="stable")
+        del rank
         # suffixes that agree on their first `depth` words are neighbours; runs of them are the intervals of full windows
-        half = max(h for h in kept if h <= depth)
-        ahead = np.r_[kept[half][depth - half :], np.zeros(depth - half, np.int64)][:n]
-        key = kept[half] * (n + 1) + ahead
-        fresh = np.r_[True, key[order][1:] != key[order][:-1]]
+        key = near * (n + 1)
+        key[: n - (depth - half)] += near[depth - half :]
+        key = key[order]
+        fresh = np.r_[True, key[1:] != key[:-1]]
+        del key, near
         self.run_start = np.flatnonzero(fresh)
         self.run_end = np.r_[self.run_start[1:], n]
         self.run_of = np.cumsum(fresh) - 1

@@ -29,10 +29,10 @@ from siltstone.llm.common import cut
 from siltstone.llm.fmindex import FMIndex
 
 GRAM = 12
-#: Distinct segments of a shard, about: 20,000 of them are some 1.2 million words and 150 MB while the index is built.
-SHARD_ROWS = 20_000
+#: Distinct segments of a shard, about: 5,000 of them are some 0.3 million words and 50 MB while the index is built.
+SHARD_ROWS = 5_000
 #: Most distinct segments of one name that go to a shard under that name.
-NAME_ROWS = 8_000
+NAME_ROWS = 4_000
 
 
 def _segments(h: np.ndarray, doc: np.ndarray, window: int, gram: int, single: bool) -> tuple[np.ndarray, ...]:
