@@ -113,5 +113,35 @@ def queries() -> dict:
     }
 
 
+OP1_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a, e b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(id, root) AS (SELECT a, a FROM pairs UNION SELECT b, b FROM pairs UNION SELECT pairs.b, reach.root FROM reach JOIN pairs ON pairs.a = reach.id),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN roots ON roots.id = vec_id"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w, len(w) AS n FROM d),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, n - 49)) AS i FROM x WHERE n >= 50)),
+gone AS (SELECT win.doc_id, i FROM win JOIN (SELECT s, min(doc_id) AS least FROM win GROUP BY s) m ON win.s = m.s WHERE m.least < win.doc_id),
+off AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM gone),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM x),
+kept AS (SELECT words.doc_id, count(off.i) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (off.i IS NULL) AS t FROM words LEFT JOIN off ON words.doc_id = off.doc_id AND words.i = off.i GROUP BY words.doc_id)
+SELECT x.doc_id, n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM x LEFT JOIN kept ON x.doc_id = kept.doc_id"""
+
+OP7_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i)),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS body,
+  replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ') + length(head) + length(': ') + length(body) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_multiindex": OP1_SQL, "op6_substring": OP6_SQL, "op7_chat": OP7_SQL}
