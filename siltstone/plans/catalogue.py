@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalar as S
 from siltstone.operators import blocks, clustering, evaluation, features, grid, mining, signatures
+from siltstone.plans import relational  # noqa: F401  registers its queries
+from siltstone.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from siltstone.sources import derived as D
 from siltstone.sources import files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 CONFIDENCE = 0.7
 
-
-def query(sql: str | None = None) -> Callable:
-    def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- shared SQL -------------------------------------------------------------------------------------------------------
 
 ITEMS = sorted(D.FLOW)
