@@ -2,7 +2,7 @@
 
 Unit vectors are cut into halves with a codebook each; pairs of centroids form a grid of cells, and every vector lies in
 one cell. How far a vector must move to get from its own cell into another is bounded below, per half, by the greatest
-distance to a bisecting plane between two centroids; squared, the halves add up. Traversal visits cells in the order of that sum
+distance to a plane that bisects that cell's centroid and one of the PLANES nearest ones; squared, the halves add up. Traversal visits cells in the order of that sum
 and stops at ``reach``. The reach is what partners at exactly the threshold's cosine need for the target recall: they are made
 from a bounded sample, one half turned in random directions, the other towards other vectors. Closer links need less. Then all pairs of visitors and members of the visited cells are
 verified by cosine in double precision.
@@ -33,15 +33,16 @@ from siltstone.llm.common import by_key, components, cut
 from siltstone.llm.simhash import Forest
 
 SAMPLE = 20_000
+PLANES = 4
 MEMBERS, VISITORS = 4096, 16_384
 
 
 @dataclass
 class Index:
-    """Two codebooks (k x half), the distances between their centroids, and how far a traversal goes."""
+    """Two codebooks (k x half), half of one over the distances between their centroids, and how far a traversal goes."""
 
     books: list[np.ndarray]
-    gaps: list[np.ndarray]
+    over: list[np.ndarray]
     split: int
     reach: float = 0.0
 
@@ -50,8 +51,8 @@ class Index:
         rng = np.random.default_rng(12)
         split = unit.shape[1] // 2
         books = [_codebook(half, k, rng) for half in (unit[:, :split], unit[:, split:])]
-        gaps = [np.sqrt(np.maximum(((b[:, None] - b[None]) ** 2).sum(-1), 1e-18)) for b in books]
-        index = Index(books, gaps, split)
+        over = [0.5 / np.sqrt(np.maximum(((b[:, None] - b[None]) ** 2).sum(-1), 1e-18)) for b in books]
+        index = Index(books, over, split)
         some = unit[rng.choice(len(unit), min(len(unit), 2000), replace=False)]
         some = np.concatenate([some, some])
         noise = np.concatenate([rng.standard_normal(some[::2].shape), unit[rng.choice(len(unit), len(some) // 2)]])
@@ -67,12 +68,13 @@ class Index:
     def bounds(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared least ways into each centroid's region, per half."""
         out = []
-        for half, book, gap in zip((unit[:, : self.split], unit[:, self.split :]), self.books, self.gaps, strict=True):
+        for half, book, half_over in zip((unit[:, : self.split], unit[:, self.split :]), self.books, self.over, strict=True):
             far = (book * book).sum(1) - 2 * half @ book.T
-            way = np.zeros_like(far)
-            for c in range(len(book)):
-                way[:, c] = ((far[:, c : c + 1] - far) / (2 * gap[c])).max(1)
-            out.append(np.maximum(way, 0) ** 2)
+            way, at = np.zeros_like(far), np.arange(len(far))
+            near = np.argpartition(far, min(PLANES, len(book)) - 1, axis=1)[:, :PLANES] if len(book) > PLANES else np.tile(np.arange(len(book)), (len(far), 1))
+            for c in near.T:
+                np.maximum(way, (far - far[at, c][:, None]) * half_over[c], out=way)
+            out.append(way**2)
         return out[0], out[1]
 
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
