@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def scratch_dir(spark: SparkSession) -> str:
     master = spark.conf.get("spark.master", "local")
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
+    folder = tempfile.mkdtemp(prefix="siltstone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
