@@ -30,7 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back, which ends its lineage."""
     path = f"{scratch_dir(df.sparkSession)}/siltstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._siltstone_path = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``cut`` table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._siltstone_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,9 +51,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = cut(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        release(now)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        release(large)
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if seen["n"] == 0 or (seen["n"], seen["x"]) == state:
             break
