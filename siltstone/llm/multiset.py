@@ -2,8 +2,8 @@
 
 A paragraph is a line. Each paragraph hashes to a wide vector and the document's fingerprint is the lane-wise sum modulo
 2**20, so it does not depend on the paragraphs' order, and a paragraph is inserted or deleted by adding or subtracting its
-vector (``plus``, ``minus``). The vector has 24 dense lanes of the whole paragraph (480 bits, for equality) and 126 lanes that
-count, over the paragraph's runs of up to eight words, how often a bit of the run's hash is set; twice those less the runs'
+vector (``plus``, ``minus``). The vector has 24 dense lanes of the whole paragraph (480 bits, for equality) and 189 lanes that
+count, over the paragraph's runs of up to four words, how often a bit of the run's hash is set; twice those less the runs'
 number is a random projection of the multiset of runs, whose cosine gives the likeness of two documents.
 Three lanes of 20 bits lie in a long, 21 bits apart, so that sums never overflow.
 
@@ -23,8 +23,8 @@ LANE = 0xFFFFF
 MASK = LANE | LANE << 21 | LANE << 42
 ONES = 1 | 1 << 21 | 1 << 42
 DENSE = 8
-SKETCHES = 2
-RUN = r"\S+(?:[^\S\n]+\S+){0,7}"
+SKETCHES = 3
+RUN = r"\S+(?:[^\S\n]+\S+){0,3}"
 LONGS = DENSE + 21 * SKETCHES
 
 
@@ -37,7 +37,7 @@ def fingerprint(text: Column) -> Column:
         lambda s, p: F.array(*[(s[i] + F.xxhash64(F.lit(i), p).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK)) for i in range(DENSE)]),
     )
     runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: F.xxhash64(F.lit(DENSE), r))
-    pairs = F.transform(runs, lambda h: F.struct(h.alias("h0"), F.xxhash64(h).alias("h1")))
+    pairs = F.transform(runs, lambda h: F.struct(h.alias("h0"), *[F.xxhash64(h, F.lit(j)).alias(f"h{j}") for j in range(1, SKETCHES)]))
     sketch = F.aggregate(
         pairs,
         F.array(*[F.lit(0).cast("long")] * (21 * SKETCHES)),
