@@ -349,11 +349,10 @@ def gmeans(points: DataFrame, most_clusters: int = 10, seed: int = 42, critical:
     while True:
         labelled = cut(kmeans(points, k, seed))
         joined = points.join(labelled, "id").select("cluster", "id", F.col("v")[0].alias("x"))
-        rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id"))
-        rows = joined.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("cluster", "x").collect()
-        by: dict[int, list[float]] = {}
-        for r in rows:
-            by.setdefault(r["cluster"], []).append(r["x"])
+        by = {
+            c: [r["x"] for r in joined.where(F.col("cluster") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()]  # a bounded top-k a cluster
+            for c in range(k)
+        }
         limit = lambda n: critical / (1 + 4 / n - 25 / n**2)
         if k >= most_clusters or all(anderson_darling(np.array(x)) < limit(max(len(x), 8)) for x in by.values()):
             return labelled

@@ -97,13 +97,13 @@ def filter_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT event_id, round(0.45 * a + 0.35 * b, 6) AS score FROM (SELECT event_id, CASE WHEN user_id > 0 THEN value / user_id ELSE 0 END AS a, CASE WHEN value > 50 THEN 50 / value ELSE 0 END AS b FROM events)"
+    "SELECT event_id, a * 0.45::DOUBLE + b * 0.35::DOUBLE AS score FROM (SELECT event_id, CASE WHEN user_id > 0 THEN value / user_id ELSE 0 END AS a, CASE WHEN value > 50 THEN 50 / value ELSE 0 END AS b FROM events)"
 )
 def guarded_ratio_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = D.table(spark, sf_dir, "events").select(
         "event_id", S.ratio(F.col("value"), F.col("user_id")).alias("a"), F.when(F.col("value") > 50, 50 / F.col("value")).otherwise(0.0).alias("b")
     )
-    return scored.select("event_id", F.round(S.weighted({"a": 0.45, "b": 0.35}), 6).alias("score"))
+    return scored.select("event_id", S.weighted({"a": 0.45, "b": 0.35}).alias("score"))
 
 
 @query("SELECT p_partkey AS id, p_brand AS brand FROM part")
