@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +22,9 @@ def scratch_dir(spark: SparkSession) -> str:
     master = spark.conf.get("spark.master", "local")
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
+    folder = tempfile.mkdtemp(prefix="siltstone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
@@ -30,7 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siltstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._siltstone_path = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``cut`` table that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._siltstone_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: every larger neighbour of a moves to the least of a's neighbourhood
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = cut(large)
+        release(now)
         # small star: among neighbours no larger than a, and a itself, all move to the least
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a")
@@ -70,6 +84,7 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         now = cut(small)
+        release(large)
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         # a star forest is stable under both steps
         if seen["n"] == 0 or (seen["n"], seen["x"]) == state:

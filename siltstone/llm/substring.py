@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
-from siltstone.llm.common import cut
+from siltstone.llm.common import cut, release
 from siltstone.llm.fmindex import FMIndex
 
 GRAM = 12
@@ -172,7 +172,9 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     picked = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")
     )
-    found = cut(_shared(cut(_occurrences(picked, window, gram))))
+    every = cut(_occurrences(picked, window, gram))
+    found = cut(_shared(every))
+    release(every)
     distinct = cut(found.groupBy("h", "s").agg(F.min(F.struct("doc", "th", "start", "size")).alias("r")).select("h", "s", "r.*"))
     crowded = cut(distinct.groupBy("h").count().where(F.col("count") > NAME_ROWS).select("h"))
     if crowded.limit(1).count():
