@@ -7,7 +7,8 @@ template; nodes that vary are slots, and the slots' texts are content. Pages tha
 copies and give no evidence, so that a shared article does not become template.
 
 Advertisements and menus also vary from page to page, so slots are read with the markup's own names: elements that name
-menus, headers, footers, sidebars, notices, adverts, forms, comments or scripts (by tag, role, class or id) are no content,
+menus, headers, footers, sidebars, notices, adverts, forms, comments or scripts (by tag, role, class or id) are no content, nor
+is what the markup hides. A header inside an article belongs to it,
 and where a page marks an article (or a main part), content lies inside the largest one of them.
 
 Blocks are runs of text between the borders of block elements; ``<br>`` and inline elements do not end a block. Character
@@ -47,6 +48,8 @@ SUPPORT, SHARE = 3, 0.5
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_HEADS = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?[^\"'>]*(?<![a-z])(?:header|masthead)(?![a-z])", re.I)
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/?>)|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -66,16 +69,18 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 class Node:
     """A block element, or a run of text (tag ``#``)."""
 
-    __slots__ = ("drop", "hash", "kids", "linked", "number", "tag", "text")
+    __slots__ = ("drop", "hash", "head", "kids", "linked", "number", "tag", "text")
 
-    def __init__(self, tag: str, drop: bool = False) -> None:
-        self.tag, self.drop, self.kids = tag, drop, []
+    def __init__(self, tag: str, drop: bool = False, head: bool = False) -> None:
+        self.tag, self.drop, self.head, self.kids = tag, drop, head, []
         self.text, self.hash, self.linked, self.number = None, None, 0, -1
 
 
 def _dropped(tag: str, attributes: str) -> bool:
     if tag in _DROP_TAGS:
         return True
+    if ("hidden" in attributes or "display" in attributes) and _UNSEEN.search(attributes):
+        return True
     if "=" not in attributes:
         return False
     for m in _NAMES.finditer(attributes):
@@ -151,7 +156,7 @@ def parse(source: str) -> Node:
                             break
             if tag in ("html", "body"):
                 continue
-            node = Node(tag, _dropped(tag, rest))
+            node = Node(tag, _dropped(tag, rest), tag == "header" or "head" in rest and bool(_HEADS.search(rest)))
             stack[-1].kids.append(node)
             if tag != "hr" and len(stack) < DEPTH:
                 stack.append(node)
@@ -303,7 +308,7 @@ def _leaves(root: Node, inside: bool) -> list[Node]:
     out, stack = [], [root]
     while stack:
         node = stack.pop()
-        if node is not root and (node.drop or (node.tag == "header" and not inside)):
+        if node is not root and (node.drop or (node.head and not inside)):
             continue
         if node.text is not None:
             out.append(node)

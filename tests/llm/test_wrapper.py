@@ -106,3 +106,15 @@ def test_matching_is_optimal():
         make = lambda: X.parse("".join(RNG.choice(["<p>a", "<p>b", "<div>", "</div>", "<ul><li>a<li>b</ul>", "<h2>t</h2>"]) for _ in range(RNG.randint(1, 25))))
         a, b = make(), make()
         assert X.match(a, b)[0] == brute(a, b)
+
+
+def test_names_of_what_is_no_content():
+    def text(source):
+        return X.content(X.parse(source), None, frozenset())
+
+    body = "<article><header><h1>T</h1></header><p>One <span class='ad'>buy</span>two<p hidden>no<p style='display: none'>no<p>three</article>"
+    assert text(f"<div class='page-header'>S</div>{body}<div class='reader-comments'><p>c</div>") == "T\nOne two\nthree"
+    assert text("<div class='site-header'>Site</div><div class='sidebar'>s</div><div class='content'><h2>A</h2><p>b c</div><form>f</form>") == "A\nb c"
+    assert text("<div class='with-sidebar'><article><p>long enough to hold most</article></div><div class='notice'>n</div>") == "long enough to hold most"
+    assert text("<main><p>m</p><aside>a</aside></main><article class='comment'><p>longer than the rest</article>") == "m"
+    assert text("<p>a&nbsp;b&amp;c&#x41;</p><pre>x\n  y</pre><ul><li>i<li>j</ul>") == "a b&cA\nx y\ni\nj"
