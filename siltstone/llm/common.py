@@ -1,49 +1,13 @@
-"""Shared parts of the training-data operators: scratch tables, hot-key safe graph components, text buffers."""
+"""What the training-data operators take from the rest of the library, and the tables they read."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="siltstone-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    made = f"file://{folder}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared scratch folder and read it back: the lineage ends in files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/siltstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._siltstone_path = path
-    return back
 
+from siltstone.operators.blocks import by_key
+from siltstone.operators.graph import components, cut, release, scratch_dir
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a ``cut`` table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._siltstone_path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+__all__ = ["by_key", "components", "cut", "release", "scratch_dir", "table", "width"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,67 +16,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected edges ``(a, b)``: one row ``(node, root)`` per node of an edge, root its least reachable node.
-
-    Alternating large-star and small-star steps over DataFrames. Minima come from partial aggregates and plain equi-joins,
-    so a hub with a third of all edges is split by adaptive execution; every step is cut into the shared folder.
-    Nulls and self loops are dropped; no edges give an empty result.
-    """
-    now = cut(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: every larger neighbour of a moves to the least of a's neighbourhood
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large)
-        release(now)
-        # small star: among neighbours no larger than a, and a itself, all move to the least
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a")
-        small = (
-            moved.where("b <> m")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(least.select("a", F.col("m").alias("b")))
-            .distinct()
-        )
-        now = cut(small)
-        release(large)
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        # a star forest is stable under both steps
-        if seen["n"] == 0 or (seen["n"], seen["x"]) == state:
-            break
-        state = (seen["n"], seen["x"])
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
-
-
-def by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """One table per run of equal integer keys in sorted batches; one run is held at a time."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        fresh = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            fresh[1:] |= c[1:] != c[:-1]
-        edge = [0, *np.flatnonzero(fresh).tolist(), batch.num_rows]
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            own = tuple(c[a] for c in columns)
-            if held and own != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = own
-    if held:
-        yield pa.Table.from_batches(held)
