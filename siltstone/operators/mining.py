@@ -1,7 +1,7 @@
 """Itemsets, rules and related groups over 0/1 matrices.
 
-Counts come from one pass each: items and pairs are exploded per row and partially aggregated before the shuffle, whose size is
-bounded by the number of column pairs, not rows. Only counts per column or pair reach the driver.
+Rows are first counted by their distinct patterns, with partial aggregation before the shuffle; items and pairs are exploded
+from the patterns only. What reaches the driver is a count per column or pair.
 """
 
 from __future__ import annotations
@@ -20,16 +20,24 @@ def transactions(matrix: DataFrame, row_id: str, columns: list[str]) -> DataFram
     return matrix.select(row_id, positive_items(sorted(columns)).alias("items"))
 
 
+def patterns(tx: DataFrame) -> DataFrame:
+    """(items, n): distinct transactions with their numbers."""
+    return tx.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+
+
 def item_counts(tx: DataFrame) -> DataFrame:
-    return tx.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    return patterns(tx).select(F.explode("items").alias("item"), "n").groupBy("item").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(tx: DataFrame) -> DataFrame:
-    """(a, b, n) with a < b: rows that hold both."""
-    pairs = F.flatten(
-        F.transform("items", lambda a, i: F.transform(F.slice("items", i + 2, F.greatest(F.size("items") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    )
-    return tx.select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+def _pairs(gap: int) -> Column:
+    """Pairs (a, b) of the sorted items with b at least ``gap`` places after a."""
+    tail = lambda i: F.slice("items", i + 1 + gap, F.greatest(F.size("items") - i - gap, F.lit(0)))
+    return F.flatten(F.transform("items", lambda a, i: F.transform(tail(i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
+def pair_counts(tx: DataFrame, gap: int = 1) -> DataFrame:
+    """(a, b, n) with a < b: rows that hold both. Gap 0 adds the single items as pairs (a, a)."""
+    return patterns(tx).select("n", F.inline(_pairs(gap))).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def frequent_itemsets(tx: DataFrame, min_support: float, max_size: int | None = None, min_size: int = 1) -> DataFrame:
@@ -108,9 +116,10 @@ class Counts:
 
 
 def collect_counts(tx: DataFrame, columns: list[str]) -> Counts:
-    """At most a row per column and per pair of columns."""
-    single = dict.fromkeys(columns, 0) | {r["item"]: r["n"] for r in item_counts(tx).collect()}
-    return Counts(single, {(r["a"], r["b"]): r["n"] for r in pair_counts(tx).collect()})
+    """At most a row per column and per pair of columns, in one pass."""
+    rows = pair_counts(tx, gap=0).collect()
+    single = dict.fromkeys(columns, 0) | {r["a"]: r["n"] for r in rows if r["a"] == r["b"]}
+    return Counts(single, {(r["a"], r["b"]): r["n"] for r in rows if r["a"] != r["b"]})
 
 
 def related_groups(counts: Counts, confidence: float, snapshots: bool = True) -> list[Group]:

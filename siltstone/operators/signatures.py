@@ -1,20 +1,20 @@
 """Scoring of signature groups against labelled rows.
 
-A row matches a group if all the group's columns are 1 in it. All groups are scored in one aggregate over the rows: a sum of
-matches among anomalous rows and one among the others per group, the four cells follow from the totals. Groups come from
-column counts, so there are as many as columns or few times that; CHUNK of them share an aggregate.
+A row matches a group if all the group's columns are 1 in it. Rows are first counted by their distinct 0/1 patterns, then all
+groups are scored over the patterns: a sum of matches among anomalous rows and one among the others per group, the four cells
+follow from the totals. Groups come from column counts, so there are as many as columns or a few times that; they travel as
+one literal.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.scalar import col, ratio, weighted
+from siltstone.functions.scalar import col, positive_items, ratio, weighted
 
-CHUNK = 60
 WEIGHTS = {"accuracy": 0.15, "precision": 0.65, "recall": 0.15, "f1": 0.05}
 ROW_WEIGHTS = {"accuracy": 0.45, "precision": 0.35, "recall": 0.15, "f1": 0.05}
 
@@ -24,24 +24,35 @@ def confusion(matrix: DataFrame, groups: list[tuple[int, list[str]]], label: str
 
     mode reference: an anomalous row without a match is FP and a benign match FN, as the data's origin counts; standard: the other way.
     """
-    out = None
-    for i in range(0, len(groups), CHUNK):
-        some = groups[i : i + CHUNK]
-        hit = {g: reduce(lambda a, b: a & b, [col(c) == 1 for c in items], F.lit(True)) for g, items in some}
-        anomal = col(label) == 1
-        cells = [F.struct(F.lit(g).cast("int").alias("group_id"), F.count_if(h & anomal).alias("a"), F.count_if(h & ~anomal).alias("b")) for g, h in hit.items()]
-        totals = matrix.agg(F.array(*cells).alias("cells"), F.count_if(anomal).alias("p"), F.count_if(~anomal).alias("n"))
-        part = totals.select("p", "n", F.inline("cells")).select(
-            "group_id",
-            F.col("a").alias("TP"),
-            (F.col("p") - F.col("a") if mode == "reference" else F.col("b")).alias("FP"),
-            (F.col("n") - F.col("b")).alias("TN"),
-            (F.col("b") if mode == "reference" else F.col("p") - F.col("a")).alias("FN"),
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return matrix.sparkSession.createDataFrame([], "group_id int, TP long, FP long, TN long, FN long")
-    return out
+    spark = matrix.sparkSession
+    if not groups:
+        return spark.createDataFrame([], "group_id int, TP long, FP long, TN long, FN long")
+    rows = patterns(matrix, sorted({c for _, items in groups for c in items}), label)
+    # the empty group -1 matches every row: its sums are the totals
+    text = json.dumps([{"g": -1, "items": []}, *({"g": g, "items": list(items)} for g, items in groups)])
+    listed = F.from_json(F.lit(text), "array<struct<g: int, items: array<string>>>")
+    met = F.filter(listed, lambda x: F.size(F.array_except(x["items"], F.col("items"))) == 0)
+    anomal = F.col("anomal") == 1
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    sums = rows.select(F.explode(F.transform(met, lambda x: x["g"])).alias("g"), "anomal", "n").groupBy("g").agg(total(anomal).alias("a"), total(~anomal).alias("b"))
+    known = spark.range(1).select(F.explode(F.transform(listed, lambda x: x["g"])).alias("group_id")).join(sums, F.col("group_id") == F.col("g"), "left")
+    everywhere = Window.partitionBy()  # a row per group
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    whole = lambda c: zero(F.max(F.when(F.col("group_id") == -1, F.col(c))).over(everywhere))
+    full = known.select("group_id", zero(F.col("a")).alias("a"), zero(F.col("b")).alias("b"), whole("a").alias("p"), whole("b").alias("q")).where("group_id >= 0")
+    return full.select(
+        "group_id",
+        F.col("a").alias("TP"),
+        (F.col("p") - F.col("a") if mode == "reference" else F.col("b")).alias("FP"),
+        (F.col("q") - F.col("b")).alias("TN"),
+        (F.col("b") if mode == "reference" else F.col("p") - F.col("a")).alias("FN"),
+    )
+
+
+def patterns(matrix: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """(items, anomal, n): the distinct sets of columns that are 1, by label, with their numbers."""
+    items = positive_items(columns) if columns else F.array().cast("array<string>")
+    return matrix.select(items.alias("items"), F.coalesce(col(label), F.lit(0)).alias("anomal")).groupBy("items", "anomal").agg(F.count(F.lit(1)).alias("n"))
 
 
 def metrics(cells: DataFrame) -> DataFrame:
