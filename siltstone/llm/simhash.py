@@ -28,6 +28,8 @@ from siltstone.llm.common import components, cut
 SEED = 42
 #: Most members and most visitors of one comparison task; larger tiles are cut.
 BLOCK = 1 << 16
+#: Shingles hashed at a time.
+CHUNK = 1 << 15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -54,14 +56,17 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int) -> np.nda
     shingles = np.maximum(count - width + 1, 1)
     begin = np.repeat(first, shingles) + np.arange(shingles.sum()) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     last = np.minimum(begin + width - 1, np.repeat(first + count - 1, shingles))
-    h = np.array([xxh64_intdigest(raw[a:b], SEED) for a, b in zip(at[begin].tolist(), (at[last + 1] - 1).tolist(), strict=True)], np.uint64)
-    edges = np.cumsum(shingles) - shingles
-    for i in range(0, len(first), 4096):
-        lo, hi = edges[i], (edges[i + 4096] if i + 4096 < len(first) else len(h))
-        bits = np.unpackbits(h[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, edges[i : i + 4096] - lo, axis=0, dtype=np.int64)
-        on = ones * 2 > shingles[i : i + 4096, None]
-        out[doc[first[i : i + 4096]]] = np.packbits(on, axis=1).reshape(-1, 8).view(">u8").ravel().astype(np.uint64)
+    begin, last = at[begin], at[last + 1] - 1
+    ones = np.zeros((len(first), 64), np.int64)
+    owner = np.repeat(np.arange(len(first)), shingles)
+    for i in range(0, len(begin), CHUNK):  # a document may span chunks
+        part = slice(i, i + CHUNK)
+        h = np.array([xxh64_intdigest(raw[a:b], SEED) for a, b in zip(begin[part].tolist(), last[part].tolist(), strict=True)], ">u8")
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+        edge = np.flatnonzero(np.r_[True, owner[part][1:] != owner[part][:-1]])
+        ones[owner[part][edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int64)
+    on = ones * 2 > shingles[:, None]
+    out[doc[first]] = np.packbits(on, axis=1).reshape(-1, 8).view(">u8").ravel().astype(np.uint64)
     return out
 
 
