@@ -1,0 +1,183 @@
+"""Near-duplicates by the Jaccard likeness of word shingles, verified exactly.
+
+Candidates. Every distinct shingle set has BANDS x ROWS least hashes; two sets share at least one band of ROWS equal ones
+with a chance of 1 - (1 - s**ROWS)**BANDS, which is 0.99995 at a likeness s of 0.8 and more above it. Sets of equal shingles
+are one class from the start, so copies cost nothing here.
+
+Verification. The classes of a bucket are first compared with one leader each, in LEADERS rounds; after each round the
+accepted pairs are chained. Then all pairs of a bucket that still lie in different groups are compared, so only pairs
+whose answer is known already are left out. Every comparison takes both full shingle sets.
+
+Cases: ASCII letters are lowered. Fewer words than the width give one shingle of them all; texts without words (and nulls)
+are one class. A shingle set is named by 64 bits; two sets share a name with a chance of about 2**-64.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
+
+from siltstone.llm import words as W
+from siltstone.llm.common import components, cut, release
+
+BANDS, ROWS = 25, 5
+#: Rounds in which the classes of a bucket meet one leader each.
+LEADERS = 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_TURN = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, document by document, and len+1 offsets."""
+    n = len(offsets) - 1
+    low = _LOWER[data]
+    start, end, doc = W.spans(low, offsets)
+    word = W.word_hashes(low, start, end)
+    first = np.searchsorted(doc, np.arange(n + 1))
+    count = np.diff(first)
+    runs = W.gram_hashes(word, width)
+    begin = np.arange(len(runs))
+    whole = doc[begin] == doc[begin + width - 1] if len(runs) else np.zeros(0, bool)
+    owner, value = [doc[begin[whole]]], [runs[whole]]
+    for size in range(1, width):
+        short = np.flatnonzero(count == size)
+        if len(short):
+            owner.append(short)
+            value.append(W.gram_hashes(word, size)[first[short]])
+    owner, value = np.concatenate(owner), np.concatenate(value)
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])] if len(owner) else np.zeros(0, bool)
+    owner, value = owner[new], value[new]
+    return value, np.searchsorted(owner, np.arange(n + 1))
+
+
+def _parts(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    data, offsets = W.buffers(column)
+    for i, j in W.slices(offsets):
+        yield shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+
+
+def _names(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number a set, 0 for the empty one."""
+    sums = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(W.mix(value), out=sums[1:])
+    return np.where(np.diff(at) > 0, W.mix((sums[at[1:]] - sums[at[:-1]]) ^ np.diff(at).astype(np.uint64)), np.uint64(0))
+
+
+def _bands(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(documents with shingles, BANDS) bucket numbers."""
+    full = at[:-1][np.diff(at) > 0]
+    out = np.zeros((len(full), BANDS), np.uint64)
+    if not len(full):
+        return out
+    for b in range(BANDS):
+        total = np.full(len(full), b + 1, np.uint64)
+        for r in range(ROWS):
+            total = W.mix(total ^ np.minimum.reduceat(value * _TURN[b * ROWS + r], full))
+        out[:, b] = total
+    return out
+
+
+def _marked(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``docs`` with _set, the name of the row's shingle set, _n, its size, and _bands."""
+    place = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields]).add("_set", LongType()).add("_n", LongType()).add("_bands", ArrayType(LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes, bands = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.uint64)]
+            for value, at in _parts(batch.column(place), width):
+                names.append(_names(value, at))
+                sizes.append(np.diff(at))
+                bands.append(_bands(value, at))
+            size = np.concatenate(sizes)
+            flat = np.concatenate(bands).ravel().view(np.int64)
+            edge = np.r_[0, np.cumsum((size > 0) * BANDS)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))
+            columns = [pa.array(np.concatenate(names).view(np.int64)), pa.array(size.astype(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "_set", "_n", "_bands"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(k, s) of (k, text): s is the shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = 0
+            for value, at in _parts(batch.column(1), width):
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(lists)), lists], names=["k", "s"])
+                row += len(lists)
+
+    return texts.mapInArrow(run, "k long, s array<long>")
+
+
+def links(marked: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(a, b): verified pairs of shingle sets that chain every group."""
+    classes = marked.where("_n > 0").groupBy("_set").agg(F.first(F.struct("_n", "_bands")).alias("r"))
+    spread = classes.select(F.col("_set").alias("k"), F.col("r._n").alias("n"), F.explode("r._bands").alias("band"))
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
+    buckets = cut(spread.join(shared, "band", "left_semi"))
+    texts = marked.join(buckets.select(F.col("k").alias("_set")).distinct(), "_set", "left_semi").groupBy("_set").agg(F.first(text_col).alias("text"))
+    sets = cut(_sets(texts, width))
+    x, y = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
+    near = F.expr(f"least(na, nb) / greatest(na, nb) >= {similarity}D")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("sa", "sb"))
+        likeness = both / (F.size("sa") + F.size("sb") - both)
+        return pairs.join(x, "a").join(y, "b").where(likeness >= similarity).select("a", "b")
+
+    tried, found = [], []
+    state = buckets
+    for turn in range(LEADERS + 1):
+        if found:
+            roots = cut(components(reduce(DataFrame.unionByName, found)))
+            state = buckets.join(roots, F.col("k") == F.col("node"), "left").select("band", "k", "n", F.coalesce("root", "k").alias("g"))
+        else:
+            state = buckets.select("band", "k", "n", F.col("k").alias("g"))
+        if turn < LEADERS:
+            leader = state.groupBy("band").agg(F.min_by(F.struct("k", "n", "g"), F.xxhash64(F.lit(turn), "k")).alias("l"))
+            met = state.join(leader, "band").where("g <> l.g").select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("l.k").alias("b"), F.col("l.n").alias("nb"))
+        else:
+            open_ = state.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("band")
+            left = state.join(open_, "band", "left_semi")
+            other = left.select("band", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("g").alias("h"))
+            met = left.join(other, "band").where("k < b and g <> h").select(F.col("k").alias("a"), F.col("n").alias("na"), "b", "nb")
+        pairs = met.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for seen in tried:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        tried.append(pairs)
+        found.append(cut(verified(pairs)))
+    release(sets)
+    return reduce(DataFrame.unionByName, found)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of texts chained by a likeness of at least ``similarity``: the one of least id, then of least text hash.
+
+    Rows without an id come after all others of their group.
+    """
+    marked = cut(_marked(docs, text_col, width))
+    roots = components(links(marked, text_col, width, similarity))
+    grouped = marked.join(roots, F.col("_set") == F.col("node"), "left").withColumn("_group", F.coalesce("root", "_set"))
+    return first_of_group(grouped, "_group", id_col, text_col).select(*docs.columns)
+
+
+def first_of_group(rows: DataFrame, group: str, id_col: str, text_col: str) -> DataFrame:
+    """One row a group: that of least id, nulls last, then of least text hash."""
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    ranked = rows.withColumn("_rank", rank)
+    least = ranked.groupBy(group).agg(F.min("_rank").alias("_least"))
+    return ranked.join(least, group).where(F.col("_rank").eqNullSafe(F.col("_least"))).dropDuplicates([group]).drop("_rank", "_least")

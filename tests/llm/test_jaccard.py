@@ -1,0 +1,60 @@
+import random
+
+import corpus_pipeline as P
+from siltstone.llm import jaccard
+
+
+def brute_sets(text, width=5):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def brute_kept(rows):
+    sets = [brute_sets(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) / len(a | b) >= 0.8:
+                up[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(least.values())
+
+
+def near_copies(seed, n=30):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(1, 200))]
+        rows.append((100 * i, " ".join(words)))
+        for k in range(1, 9):
+            other = list(words)
+            for _ in range(rng.randint(1, 6)):
+                other[rng.randrange(len(other))] = f"changed{rng.randrange(9)}"
+            rows.append((100 * i + k, "\n".join(other)))
+    return rows + [(9000, ""), (9001, None), (9002, " \t"), (9003, "A b"), (9004, "a B")]
+
+
+def test_against_brute_force(spark):
+    rows = near_copies(3)
+    df = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, lang string")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+
+
+def test_pipeline_stage_finds_texts_of_likeness_from_0_8(spark):
+    words = [f"w{i}" for i in range(300)]
+    other = [w if i % 60 else "changed" for i, w in enumerate(words)]
+    text = [" ".join(words), " ".join(other), " ".join(reversed(words))]
+    a, b = brute_sets(text[0]), brute_sets(text[1])
+    assert len(a & b) / len(a | b) >= 0.8
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, df, "").collect()) == [0, 2]
