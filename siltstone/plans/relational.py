@@ -246,8 +246,11 @@ def node_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sequence_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.table(spark, sf_dir, "events").groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list("value")), 1, 8).alias("s"))
-    return features.sequence_codes(rows, "s", 4).select("user_id", F.size("code").alias("size"))
+    """Codes of each user's whole sequence of values, in event order."""
+    events = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
+    values = F.transform(F.filter(events, lambda e: e["value"].isNotNull()), lambda e: e["value"].cast("double"))
+    rows = D.table(spark, sf_dir, "events").groupBy("user_id").agg(values.alias("s"))
+    return features.sequence_codes(rows, "s", 4).select("user_id", *[F.round(F.col("code")[i], 6).alias(f"c{i}") for i in range(4)])
 
 
 @query()

@@ -190,3 +190,20 @@ def test_scores_by_hand(spark):
 def test_attention_stand_in(points):
     scored = clustering.attention_score(points.withColumnRenamed("tag", "label"))
     assert all((r.v[0] > 0.5) == (r.label == 1) for r in scored.collect())
+
+
+def test_sequence_codes_read_whole_sequences_in_event_order(spark, tmp_path):
+    import datetime as dt
+
+    from siltstone.plans import relational
+
+    rng = np.random.default_rng(8)
+    seqs = [rng.normal(size=n) for n in (12, 30, 9, 21, 30, 17, 25)]
+    rows = [(100 * u + i, u, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(v)) for u, xs in enumerate(seqs) for i, v in enumerate(xs)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    m = np.array([np.r_[xs, np.zeros(30 - len(xs))] for xs in seqs])
+    m = m - m.mean(0)
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    got = np.array([list(r)[1:] for r in sorted(relational.sequence_codes(spark, str(tmp_path)).collect())])
+    assert np.allclose(np.abs(got), np.abs(u[:, :4] * s[:4]), atol=1e-5)
