@@ -340,21 +340,62 @@ def anderson_darling(x: np.ndarray) -> float:
     return float(-n - ((2 * i - 1) * (np.log(p) + np.log(1 - p[::-1]))).sum() / n)
 
 
+def normality(rows: DataFrame, parts: int | None = None) -> dict[int, tuple[int, float]]:
+    """Number and Anderson-Darling statistic of every cluster of (cluster, x), over all rows.
+
+    The rows are sorted over all tasks; each task sums over its own ranks and the ranks before it are added afterwards, so a
+    row a task and cluster reaches the driver.
+    """
+    from math import erf
+
+    about = {r["cluster"]: (r["n"], r["m"], r["s"] or 0.0) for r in rows.groupBy("cluster").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).collect()}
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cluster, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for c in np.unique(cluster).tolist():
+                n, m, s = about[c]
+                if n < 8 or s == 0:
+                    continue
+                got = sums.setdefault(c, np.zeros(5))
+                p = np.clip([0.5 * (1 + erf(v / 2**0.5)) for v in (x[cluster == c] - m) / s], 1e-15, 1 - 1e-15)
+                rank = got[0] + np.arange(1, len(p) + 1)
+                low, high = np.log(p), np.log(1 - p)
+                got += [len(p), ((2 * rank - 1) * low).sum(), low.sum(), ((1 - 2 * rank) * high).sum(), high.sum()]
+        place = TaskContext.get().partitionId()
+        kept = [[c, place, *v.tolist()] for c, v in sums.items()]
+        kinds = [pa.int32(), pa.int32()] + [pa.float64()] * 5
+        columns = [pa.array([r[i] for r in kept], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["cluster", "place", "n", "a", "b", "c", "d"])
+
+    ordered = rows.select(F.col("cluster").cast("int").alias("cluster"), "x").repartitionByRange(parts, "cluster", "x").sortWithinPartitions("cluster", "x")
+    got = ordered.mapInArrow(run, "cluster int, place int, n double, a double, b double, c double, d double").collect()
+    before: dict[int, float] = {}
+    total: dict[int, float] = {}
+    for r in sorted(got, key=lambda r: r["place"]):
+        c, n, off = r["cluster"], about[r["cluster"]][0], before.get(r["cluster"], 0.0)
+        total[c] = total.get(c, 0.0) + r["a"] + 2 * off * r["b"] + r["c"] + 2 * (n - off) * r["d"]
+        before[c] = off + r["n"]
+    return {c: (n, -n - total[c] / n if c in total else 0.0) for c, (n, _, _) in about.items()}
+
+
 def gmeans(points: DataFrame, most_clusters: int = 10, seed: int = 42, critical: float = 0.787) -> DataFrame:
     """K-means with one cluster more for as long as some cluster's first coordinate is not Gaussian at five per cent.
 
-    The test reads at most SAMPLE rows a cluster, those of least hash.
+    The test reads all rows of a cluster.
     """
+    limit = lambda n: critical / (1 + 4 / n - 25 / n**2)
     k = 2
     while True:
         labelled = cut(kmeans(points, k, seed))
-        joined = points.join(labelled, "id").select("cluster", "id", F.col("v")[0].alias("x"))
-        by = {
-            c: [r["x"] for r in joined.where(F.col("cluster") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()]  # a bounded top-k a cluster
-            for c in range(k)
-        }
-        limit = lambda n: critical / (1 + 4 / n - 25 / n**2)
-        if k >= most_clusters or all(anderson_darling(np.array(x)) < limit(max(len(x), 8)) for x in by.values()):
+        if k >= most_clusters:
+            return labelled
+        found = normality(points.join(labelled, "id").select("cluster", F.col("v")[0].alias("x")))
+        if all(a < limit(max(n, 8)) for n, a in found.values()):
             return labelled
         k += 1
 

@@ -255,12 +255,12 @@ def sequence_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ymeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.ymeans(_points(spark, sf_dir), range(2, 4))
+    return clustering.ymeans(_points(spark, sf_dir))
 
 
 @query()
 def gmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.gmeans(_points(spark, sf_dir), 3)
+    return clustering.gmeans(_points(spark, sf_dir))
 
 
 @query()

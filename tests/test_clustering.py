@@ -207,3 +207,24 @@ def test_sequence_codes_read_whole_sequences_in_event_order(spark, tmp_path):
     u, s, _ = np.linalg.svd(m, full_matrices=False)
     got = np.array([list(r)[1:] for r in sorted(relational.sequence_codes(spark, str(tmp_path)).collect())])
     assert np.allclose(np.abs(got), np.abs(u[:, :4] * s[:4]), atol=1e-5)
+
+
+def test_normality_reads_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x = {0: rng.normal(size=5000), 1: rng.gamma(9.0, size=7000), 2: np.ones(40)}
+    df = spark.createDataFrame([(c, float(v)) for c, xs in x.items() for v in xs], "cluster int, x double")
+    got = clustering.normality(df, 7)
+    for c, xs in x.items():
+        assert got[c][0] == len(xs) and abs(got[c][1] - clustering.anderson_darling(xs)) < 1e-6 * max(1, got[c][1])
+
+
+def test_registered_searches_go_up_to_ten(spark, monkeypatch):
+    from siltstone.plans import relational
+
+    monkeypatch.setattr(relational, "_points", lambda spark, sf_dir: "points")
+    seen = []
+    monkeypatch.setattr(clustering, "by_silhouette", lambda points, fit, ks: seen.append(ks))
+    relational.ymeans(spark, "")
+    monkeypatch.setattr(clustering, "gmeans", lambda points, most_clusters=10: seen.append(most_clusters))
+    relational.gmeans(spark, "")
+    assert seen == [range(2, 11), 10]
