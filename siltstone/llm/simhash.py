@@ -7,9 +7,13 @@ is the same at every input size, so a fingerprint is sent to a constant number o
 Inside a tile numpy takes exclusive-or and bit counts over blocks; large tiles are cut into sub-blocks that are separate
 tasks. Equal fingerprints are one class from the start, so copies cost nothing here.
 
+Groups of a verified likeness (``keep_one``). Shingle sets of five words get fingerprints of 192 bits, compared in the same
+manner over tiles of the population count; sets chained within a radius that a Jaccard likeness of 0.8 stays in are brought
+together, and each pair within the radius is verified on the whole sets. Comparisons stay quadratic in distinct sets.
+
 Cases: a null or empty text and one without words has fingerprint zero, which links like any other. Fewer words than the
 shingle's width give one shingle of them all. Rows may repeat and ids may be null: a null id keeps its row, takes the
-component of its fingerprint and never names one (null only if no id of the component is known). Extra columns are ignored.
+component of its fingerprint and never names one (null only if no id of the component is known), but links others. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +25,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from siltstone.llm import words as W
-from siltstone.llm.common import components, cut
+from siltstone.llm.common import by_key, components, cut, release
+from siltstone.llm.common import width as width_of
 
 SEED = 42
 #: Most members and most visitors of one comparison task; larger tiles are cut.
 BLOCK = 1 << 16
 #: Shingles hashed at a time.
 CHUNK = 1 << 15
+#: Words of a wide fingerprint, and how far those of a set of likeness 0.8 may lie apart: the mean is 29 of 192 bits with a
+#: deviation of 5 (10 and 2.9 in the first word), so a pair is missed with a chance of about 1 in 10**5 (1 in 10**3 for sets of five).
+WORDS, RADIUS, FIRST = 3, 52, 24
+#: Most and least rows of a tile of wide fingerprints.
+MOST_TILE, LEAST_TILE = 1 << 18, 1024
+#: Most texts, and their characters, of one side of a verifying task.
+MEMBERS, GROUP_BYTES = 1024, 8 << 20
+_SALT = np.random.Generator(np.random.PCG64(19)).integers(1, 2**63, WORDS, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -193,11 +207,13 @@ def _tiles(table: pa.Table, radius: int, both: bool) -> Iterator[pa.RecordBatch]
 
 
 def groups(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(id, fp) to (id, fp, component_id): the least id of the fingerprints chained within the radius."""
-    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null").select("rep", "fp"))
-    roots = components(links(classes, radius))
-    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select("id", "fp", "component_id")
+    """(id, fp) to (id, fp, component_id): the least id of the fingerprints chained within the radius, null if none has one."""
+    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(links(classes.select(F.col("fp").alias("rep"), "fp"), radius))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    of = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    return fps.join(of, "fp", "left").select("id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
@@ -206,9 +222,226 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each group, the one of least id; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, width, radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.where(F.col(id_col).isNull()))
+# --- groups of a verified likeness ------------------------------------------------------------------------------------
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, document by document, and len+1 offsets; fewer words than the width are one shingle."""
+    n = len(offsets) - 1
+    low = _LOWER[data]
+    start, end, doc = W.spans(low, offsets)
+    word = W.word_hashes(low, start, end)
+    first = np.searchsorted(doc, np.arange(n + 1))
+    count = np.diff(first)
+    runs = W.gram_hashes(word, width)
+    begin = np.arange(len(runs))
+    whole = doc[begin] == doc[begin + width - 1] if len(runs) else np.zeros(0, bool)
+    owner, value = [doc[begin[whole]]], [runs[whole]]
+    for size in range(1, width):
+        short = np.flatnonzero(count == size)
+        if len(short):
+            owner.append(short)
+            value.append(W.gram_hashes(word, size)[first[short]])
+    owner, value = np.concatenate(owner), np.concatenate(value)
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])] if len(owner) else np.zeros(0, bool)
+    owner, value = owner[new], value[new]
+    return value, np.searchsorted(owner, np.arange(n + 1))
+
+
+def _set_names(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number a set, 0 for the empty one."""
+    sums = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(W.mix(value), out=sums[1:])
+    return np.where(np.diff(at) > 0, W.mix((sums[at[1:]] - sums[at[:-1]]) ^ np.diff(at).astype(np.uint64)), np.uint64(0))
+
+
+def set_fingerprints(value: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """(sets, words): a bit is 1 if it is set in over half the hashes of the set's shingles; words are of independent hashes."""
+    size = np.diff(at)
+    owner = np.repeat(np.arange(len(size)), size)
+    out = np.zeros((len(size), words), np.uint64)
+    for w in range(words):
+        ones = np.zeros((len(size), 64), np.int64)
+        for i in range(0, len(value), CHUNK):
+            h = W.mix(value[i : i + CHUNK] ^ _SALT[w])
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+            mine = owner[i : i + CHUNK]
+            edge = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+            ones[mine[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int64)
+        out[:, w] = np.packbits(ones * 2 > size[:, None], axis=1).reshape(-1, 8).view(np.uint64).ravel()
+    return out
+
+
+def _parts(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    data, offsets = W.buffers(column)
+    for i, j in W.slices(offsets):
+        yield shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+
+
+_WIDE = [f"_sim_f{w}" for w in range(WORDS)]
+_CLASS = ["_sim_set", *_WIDE]
+
+
+def _marked(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``docs`` with the name and size of the row's shingle set and the set's wide fingerprint."""
+    place = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields])
+    for name in (*_CLASS, "_sim_n"):
+        schema = schema.add(name, LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes, wide = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, WORDS), np.uint64)]
+            for value, at in _parts(batch.column(place), width):
+                names.append(_set_names(value, at))
+                sizes.append(np.diff(at))
+                wide.append(set_fingerprints(value, at, WORDS))
+            f = np.concatenate(wide).view(np.int64)
+            columns = [np.concatenate(names).view(np.int64), *(f[:, w].copy() for w in range(WORDS)), np.concatenate(sizes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns)], names=[*batch.schema.names, *_CLASS, "_sim_n"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def wide_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Spanning links (a, b) between classes (k and a fingerprint) whose wide fingerprints are chained within the radius.
+
+    Tiles are ranges of the population count, at most MOST_TILE rows each; a pair of tiles whose counts differ beyond the
+    radius is skipped, every other pair is one task. A task gives back a forest, fewer rows than it got.
+    """
+    spark = classes.sparkSession
+    ones = sum((F.bit_count(c) for c in _WIDE[1:]), F.bit_count(_WIDE[0])).cast("int")
+    own = classes.select("k", *_WIDE, ones.alias("p"))
+    sizes = sorted((r["p"], r["n"]) for r in own.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a count of bits
+    total = sum(n for _, n in sizes)
+    most = int(min(MOST_TILE, max(LEAST_TILE, total / (2 * width_of(spark)) ** 0.5)))
+    first, parts, low, high, filled = {}, {}, [], [], most
+    for p, n in sizes:
+        if filled + n > most:
+            first[p], parts[p] = len(low), -(-n // most)
+            low += [p] * parts[p]
+            high += [p] * parts[p]
+            filled = n if parts[p] == 1 else most
+        else:
+            first[p], parts[p] = len(low) - 1, 1
+            high[-1] = p
+            filled += n
+    if not low:
+        return spark.createDataFrame([], "a long, b long")
+    near = [[u for u in range(len(low)) if low[u] - high[t] <= radius and low[t] - high[u] <= radius] for t in range(len(low))]
+    numbers = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+    by_count = lambda table: F.element_at(numbers([table.get(p, 0) for p in range(64 * WORDS + 1)]), F.col("p") + 1)
+    tile = (by_count(first) + F.pmod(F.xxhash64("k"), F.greatest(by_count(parts), F.lit(1))).cast("int")).alias("t")
+    ends = lambda f: F.element_at(numbers([f(x) for x in near]), F.col("t") + 1)
+    sent = own.select("k", *_WIDE, tile).withColumn("u", F.explode(F.sequence(ends(min), ends(max))))
+    sent = sent.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"), (F.col("t") <= F.col("u")).alias("own"), "k", *_WIDE)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches, ("a", "b")):
+            k = group.column("k").to_numpy()
+            f = [group.column(c).to_numpy().view(np.uint64) for c in _WIDE]
+            mine = group.column("own").to_numpy(zero_copy_only=False)
+            order = np.r_[np.flatnonzero(mine), np.flatnonzero(~mine)]
+            k, f, m = k[order], [x[order] for x in f], int(mine.sum())
+            other = slice(m, None) if m < len(k) else slice(0, m)
+            forest = Forest(len(k))
+            for a, b in wide_pairs([x[:m] for x in f], [x[other] for x in f], radius):
+                forest.join(a, b + (other.start or 0))
+            root = forest.root(np.arange(len(k)))
+            if (some := k != k[root]).any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(k[root[some]])], names=["a", "b"])
+
+    return sent.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
+
+
+def wide_pairs(x: list[np.ndarray], y: list[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs whose fingerprints differ in at most ``radius`` bits, at most FIRST of them in the first word."""
+    step = max(1, (1 << 18) // max(1, len(y[0])))
+    for i in range(0, len(x[0]), step):
+        d = np.bitwise_count(x[0][i : i + step, None] ^ y[0][None, :])
+        a, b = np.nonzero(d <= FIRST)
+        far = d[a, b].astype(np.int64)
+        for u, v in zip(x[1:], y[1:], strict=True):
+            far += np.bitwise_count(u[i + a] ^ v[b])
+        keep = far <= radius
+        yield a[keep] + i, b[keep]
+
+
+def _same(sets: list[np.ndarray], i: int, j: int) -> float:
+    a, b = sets[i], sets[j]
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def verified_links(texts: DataFrame, width: int, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """Spanning links (a, b) of the pairs of (g, k, text) in one g whose shingle sets have a Jaccard likeness of ``similarity`` or more.
+
+    Every pair within the radius is compared set by set unless both are linked already. A g of more than MEMBERS texts or
+    GROUP_BYTES is cut into blocks, and each pair of blocks is a task.
+    """
+    sizes = texts.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum(F.length("text")) / GROUP_BYTES)).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("t")
+    sent = texts.join(sizes, "g").select("g", "k", "text", "parts", block).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = sent.select("g", F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"), (F.col("t") <= F.col("u")).alias("own"), "k", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches, ("g", "a", "b")):
+            if group.num_rows < 2:
+                continue
+            k, mine = group.column("k").to_numpy(), group.column("own").to_numpy(zero_copy_only=False)
+            sets, wide = [], []
+            for value, at in _parts(group.column("text"), width):
+                sets += [value[p:q] for p, q in zip(at[:-1], at[1:], strict=True)]
+                wide.append(set_fingerprints(value, at, WORDS))
+            f, size = np.concatenate(wide), np.array([len(s) for s in sets])
+            one, two = np.flatnonzero(mine), np.flatnonzero(~mine) if not mine.all() else np.flatnonzero(mine)
+            up = list(range(len(k)))
+
+            def root(i: int) -> int:
+                while up[i] != i:  # noqa: B023
+                    up[i] = up[up[i]]  # noqa: B023
+                    i = up[i]  # noqa: B023
+                return i
+
+            for a, b in wide_pairs([f[one, w] for w in range(WORDS)], [f[two, w] for w in range(WORDS)], radius):
+                i, j = one[a], two[b]
+                alike = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])) & ((i < j) | ~mine.all())
+                for p, q in zip(i[alike].tolist(), j[alike].tolist(), strict=True):
+                    r, s = root(p), root(q)
+                    if r != s and _same(sets, p, q) >= similarity:
+                        up[max(r, s)] = min(r, s)
+            top = np.array([root(i) for i in range(len(k))])
+            if (some := top != np.arange(len(k))).any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(k[top[some]])], names=["a", "b"])
+
+    return sent.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b").mapInArrow(compare, "a long, b long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of texts chained by a Jaccard likeness of their shingle sets of ``similarity`` or more.
+
+    Candidates are the pairs of distinct sets whose wide fingerprints differ in at most RADIUS bits; each is verified on the
+    whole sets. The row of least id stays (a row without one only if its group has no id), then that of least text hash,
+    then any one of equal rows. Texts without words are one group.
+    """
+    row = cut(_marked(docs, text_col, width).withColumn("_sim_row", F.monotonically_increasing_id()))
+    classes = cut(row.groupBy(*_CLASS).agg(F.max("_sim_n").alias("_sim_n")).withColumn("k", F.monotonically_increasing_id()))
+    found = wide_links(classes.where("_sim_n > 0"))
+    near = components(found).select(F.col("node").alias("k"), F.col("root").alias("g"))
+    words = row.select(*_CLASS, F.col(text_col).alias("text"))
+    texts = cut(words.join(classes.join(near, "k"), _CLASS).groupBy("g", "k").agg(F.first("text").alias("text")))
+    roots = components(verified_links(texts, width, similarity))
+    named = classes.join(roots, F.col("k") == F.col("node"), "left").select(*_CLASS, F.coalesce("root", "k").alias("g"))
+    narrow = row.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("_sim_row").alias("row"), *_CLASS)
+    least = narrow.join(named, _CLASS).groupBy("g").agg(F.min(F.struct("none", "id", "h", "row")).alias("r"))
+    kept = cut(least.select(F.col("r.row").alias("_sim_row")))
+    release(classes)
+    release(texts)
+    out = cut(row.join(kept, "_sim_row", "left_semi").select(*docs.columns))
+    release(row)
+    release(kept)
+    return out

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as P
 from siltstone.llm import quality
 from siltstone.llm.packing import vocabulary_path
-from tests.llm.test_simhash import brute_groups
+from tests.llm.test_simhash import brute_kept, brute_sets
 from tests.llm.test_substring import brute as brute_substring
 
 
@@ -39,8 +39,8 @@ def test_stages_against_brute_force(spark, tmp_path):
         if model.scores(quality.counts_of(raw, np.array([0, len(raw)])))[0] >= 0.3:
             kept.append((d, t))
     assert 100 < len(kept) < len(rows) - 15
-    groups = {d: c for d, _, c in brute_groups(kept)}
-    kept = [(d, t) for d, t in kept if groups[d] == d]
+    stay = set(brute_kept(kept))
+    kept = [(d, t) for d, t in kept if d in stay]
     done = {d: (gone, left) for d, _, gone, left in brute_substring(kept, 50)}
     assert any(gone for gone, _ in done.values())
     texts = {d: (done[d][1] if done[d][0] else t) for d, t in kept}
@@ -64,3 +64,13 @@ def test_stage_contracts(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_finds_texts_of_likeness_from_0_8(spark):
+    words = [f"w{i}" for i in range(300)]
+    other = [w if i % 60 else "changed" for i, w in enumerate(words)]
+    text = [" ".join(words), " ".join(other), " ".join(reversed(words))]
+    a, b = brute_sets(text[0]), brute_sets(text[1])
+    assert len(a & b) / len(a | b) >= 0.8
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, df, "").collect()) == [0, 2]

@@ -77,6 +77,73 @@ def test_keep_one(spark):
     assert sorted(r.lang for r in kept.collect()) == ["n", "y", "z"]
 
 
+def brute_sets(text, width=5):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return frozenset(" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def brute_kept(rows):
+    """Least id of each group of texts chained by a Jaccard likeness of 0.8 or more."""
+    sets = [brute_sets(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) / len(a | b) >= 0.8:
+                up[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(least.values())
+
+
+def near_copies(seed, n=30):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(1, 200))]
+        rows.append((100 * i, " ".join(words)))
+        for k in range(1, 9):
+            other = list(words)
+            for _ in range(rng.randint(1, 6)):
+                other[rng.randrange(len(other))] = f"changed{rng.randrange(9)}"
+            rows.append((100 * i + k, "\n".join(other)))
+    return rows + [(9000, ""), (9001, None), (9002, " \t"), (9003, "A b"), (9004, "a B")]
+
+
+def test_groups_of_a_likeness_against_brute_force(spark, monkeypatch):
+    rows = near_copies(3)
+    df = spark.createDataFrame([(d, t, "c", 1) for d, t in rows], "doc_id long, text string, k string, g int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+    # tiles and groups in many pieces give the same
+    for name, value in (("MOST_TILE", 16), ("LEAST_TILE", 1), ("MEMBERS", 3)):
+        monkeypatch.setattr(simhash, name, value)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == brute_kept(rows)
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_keep_one_tells_rows_of_one_id_by_their_text(spark):
+    a, b = "a b c d e f g h", "totally different words that stand here instead"
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (None, b, "n"), (None, "only here", "o"), (3, "twice", "t"), (3, "twice", "t")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (1, b), (0, "only here"), (3, "twice")])
+
+
+def test_a_fingerprint_without_an_id_links_others(spark):
+    rows = [(7, 0), (None, 7), (9, 63)]
+    got = {r.id: r.component_id for r in simhash.groups(spark.createDataFrame(rows, "id long, fp long")).collect()}
+    assert got == {7: 7, None: 7, 9: 7}
+    alone = simhash.groups(spark.createDataFrame([(None, 5)], "id long, fp long")).first()
+    assert alone.component_id is None
+
+
 def test_hash_is_sparks(spark):
     row = spark.range(1).select(F.xxhash64(F.lit("a b c")).alias("h")).first()
     assert row.h % 2**64 == xxhash.xxh64_intdigest(b"a b c", 42)
