@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import jaccard, packing, quality, substring
+from siltstone.llm import packing, quality, simhash, substring
 from siltstone.llm.common import cut, table
 
 
@@ -20,8 +20,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles have a Jaccard likeness of 0.8 or more stays, the one of least id."""
-    return jaccard.keep_one(docs, width=5, similarity=0.8).select(*docs.columns)
+    """One document of each group of texts whose five-word shingles have a Jaccard likeness of 0.8 or more stays, the one of least id
+    (SimHash candidates, verified on the whole shingle sets)."""
+    return simhash.keep_one(docs, width=5, similarity=0.8).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
