@@ -1,7 +1,8 @@
 """Quality by nearest neighbours: latent-semantic vectors, exact cosine in blocks, votes weighted by similarity.
 
-Features of a text are its byte pairs (hashed to a fixed width), words that repeat their forerunner and lines that repeat an
-earlier line, as square roots of relative frequencies times inverse document frequency. A bounded sample of labelled rows
+Features of a text are its byte pairs (hashed to a fixed width, times inverse document frequency) and how far back each of its
+words stood last (in powers of two, or never), both as square roots of relative frequencies; the two blocks have the same
+length, so none outweighs the other. A bounded sample of labelled rows
 (``most``, least hash of the id first) fits the latent axes, the leading eigenvectors of the features' second moments, and
 gives the labelled vectors, at most ``most`` of them, which are broadcast. Each document takes the cosine with all of them; those as
 near as the ``neighbours``-th nearest, ties included, vote with their similarity to the eighth power.
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
 
-WIDTH = 1024
-_BUCKET = np.random.Generator(np.random.PCG64(77)).integers(0, WIDTH - 2, 1 << 16)
+PAIRS, BACK = 1024, 12
+WIDTH = PAIRS + BACK
+_BUCKET = np.random.Generator(np.random.PCG64(77)).integers(0, PAIRS, 1 << 16)
 
 
 @dataclass
@@ -37,9 +39,7 @@ class Model:
     neighbours: int
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        x = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)) * self.idf
-        x = _unit(x.astype(np.float32)) @ self.axes
-        return _unit(x)
+        return _unit(blocks(counts, self.idf) @ self.axes)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
@@ -64,6 +64,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-12))
 
 
+def blocks(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of both kinds of features side by side."""
+    root = lambda c: np.sqrt(c / np.maximum(c.sum(1, keepdims=True), 1))
+    return _unit(np.concatenate([_unit(root(counts[:, :PAIRS]) * idf), _unit(root(counts[:, PAIRS:]))], axis=1).astype(np.float32))
+
+
 def counts_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Feature counts, a row per document of a buffer."""
     n = len(offsets) - 1
@@ -72,15 +78,16 @@ def counts_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         doc = np.repeat(np.arange(n), np.diff(offsets))
         inside = doc[1:] == doc[:-1]
         pair = (data[:-1].astype(np.int64) << 8 | data[1:])[inside]
-        out = np.bincount(doc[1:][inside] * WIDTH + _BUCKET[pair], minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float64)
+        out[:, :PAIRS] = np.bincount(doc[1:][inside] * PAIRS + _BUCKET[pair], minlength=n * PAIRS).reshape(n, PAIRS)
     start, end, doc = W.spans(data, offsets)
-    h = W.word_hashes(data, start, end)
-    again = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-    np.add.at(out, (doc[1:][again], WIDTH - 1), 5)
-    raw = data.tobytes()
-    for k in range(n):
-        lines = raw[offsets[k] : offsets[k + 1]].split(b"\n")
-        out[k, WIDTH - 2] += 20 * (len(lines) - len(set(lines)))
+    word = W.word_hashes(data, start, end)
+    if len(word):
+        order = np.lexsort((np.arange(len(word)), word, doc))
+        again = np.r_[False, (word[order][1:] == word[order][:-1]) & (doc[order][1:] == doc[order][:-1])]
+        back = np.log2(np.r_[1, np.maximum(np.diff(order), 1)]).astype(np.int64)
+        kind = np.where(again, np.minimum(back, BACK - 2), BACK - 1)
+        out[:, PAIRS:] = np.bincount(doc[order] * BACK + kind, minlength=n * BACK).reshape(n, BACK)
+        out[~out[:, :PAIRS].any(1)] = 0  # a text of one byte has no features
     return out
 
 
@@ -106,10 +113,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got.sort(key=lambda r: (bytes(r["counts"]), r["y"]))
     y = np.array([r["y"] for r in got], np.float32)
     x = np.frombuffer(b"".join(bytes(r["counts"]) for r in got), np.float32).reshape(-1, WIDTH)
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1).astype(np.float32)
+    idf = (np.log((1 + len(x)) / (1 + (x[:, :PAIRS] > 0).sum(0))) + 0.1).astype(np.float32)
     model = Model(idf, np.eye(WIDTH, axes, dtype=np.float32), np.zeros((0, axes), np.float32), y, neighbours)
     if len(x):
-        z = _unit((np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1)) * idf).astype(np.float64))
+        z = blocks(x, idf).astype(np.float64)
         model.axes = np.linalg.eigh(z.T @ z)[1][:, ::-1][:, :axes].astype(np.float32)
         model.vectors = model.latent(x)
     return model
