@@ -2,8 +2,9 @@
 
 Every record hashes into one of SLOTS slots; bytes are summed per slot; a versioned map gives each slot a shard and is edited
 (slots move, records do not rehash) when shards are unequal or their number grows. Records of equal text share a slot, so
-copies meet in one shard, unless the group alone outweighs a slot's fair share (total / SLOTS): such groups, of which there
-can be at most SLOTS, are dealt over all slots by id as well.
+copies meet in one shard at every table size, unless the group alone outweighs a whole shard's fair share (total / shards):
+such groups, fewer than there are shards, cannot stay together in shards of equal size and are dealt over all slots by id as
+well.
 
 What reaches the driver is a row per slot. Places within a shard come from a number within the slot plus the slot's offset,
 so no window spans a shard.
@@ -119,8 +120,8 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(version, max(of.values()) + 1, tuple(of[s] for s in range(len(of))))
 
 
-def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) of every record."""
+def slotted(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+    """(doc_id, size, text_crc32, virtual_slot) of every record; the columns that it reads are cut once."""
     raw = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(
         docs.select(
@@ -131,8 +132,8 @@ def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slo
         )
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    heavy = rows.groupBy("h").agg(F.sum("size").alias("b")).where(F.col("b") > total / slots).select("h", F.lit(True).alias("heavy"))
-    # at most `slots` groups can each exceed total / slots
+    heavy = rows.groupBy("h").agg(F.sum("size").alias("b")).where(F.col("b") * shards > total).select("h", F.lit(True).alias("heavy"))
+    # fewer than `shards` groups can each exceed total / shards
     return rows.join(F.broadcast(heavy), "h", "left").select(
         "doc_id",
         "size",
@@ -149,7 +150,7 @@ def shard(
     before: the map to edit (a fresh one by default). store: a folder that gets the map's versions as Parquet.
     """
     spark = docs.sparkSession
-    rows = cut(slotted(docs, id_col, text_col, slots))
+    rows = slotted(docs, shards, id_col, text_col, slots)
     per = {r["virtual_slot"]: r for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
     weight = [per[s]["b"] if s in per else 0 for s in range(slots)]
     first = before or SlotMap.fresh(shards, slots)

@@ -46,3 +46,18 @@ def test_map_versions(spark, tmp_path):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sharding.shard(df, shards=3).count() == 0
+
+
+def test_copies_stay_together_below_a_shards_share(spark):
+    """Also with far fewer documents than slots, where most groups outweigh a slot's share."""
+    rows = [(i, f"own words of document {i} " * (1 + i % 4)) for i in range(60)] + [(100 + i, f"copied text {i % 6} " * 5) for i in range(30)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
+    of = {r.doc_id: r.shard for r in out}
+    for k in range(6):
+        assert len({of[100 + i] for i in range(k, 30, 6)}) == 1
+    load = Counter()
+    for r in out:
+        load[r.shard] += r.size
+    assert len(load) == 4 and max(load.values()) <= 1.02 * min(load.values())
+    few = sharding.shard(spark.createDataFrame(rows[:3], "doc_id long, text string"), shards=8).collect()
+    assert len({r.shard for r in few}) == 3 and all(r.place == 0 for r in few)
