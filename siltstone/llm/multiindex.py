@@ -2,20 +2,22 @@
 
 Unit vectors are cut into halves with a codebook each; pairs of centroids form a grid of cells, and every vector lies in
 one cell. How far a vector must move to get from its own cell into another is bounded below, per half, by the greatest
-distance to a plane that bisects that cell's centroid and one of the PLANES nearest ones; squared, the halves add up. Traversal visits cells in the order of that sum
-and stops at ``reach``. The reach is what partners at exactly the threshold's cosine need for the target recall: they are made
-from a bounded sample, one half turned in random directions, the other towards other vectors. Closer links need less. Then all pairs of visitors and members of the visited cells are
-verified by cosine in double precision.
-
-A task takes the cells of one first-half centroid: its members once, and each visitor whose traversal gets there, so a
-vector is sent to as many tasks as centroids are in reach and the second half is traversed within. Members and visitors
-beyond MEMBERS and VISITORS are dealt to separate tasks. Equal vectors are one class with a count, so copies cost nothing.
-Tasks give back numbers of links and a spanning forest, never pairs. A pair that only one side finds counts for both.
-
-The codebooks and the reach come from at most SAMPLE vectors; every vector is indexed and every vector queries.
-
-Cases: vectors that are null, empty, zero, hold null or non-finite components, or differ in length from most, link with
-nothing and name their own component; so does a row without an id, whose component is null. Rows that repeat an id count as
+distance to a plane that bisects that cell's centroid and one of the PLANES nearest ones; squared, the halves add up. The
+multi-sequence traversal sorts both halves' ways, visits cells in the order of their sums and stops at ``reach``, the sum that
+partners at exactly the threshold's cosine need for the target recall: they are made from a bounded sample, one half turned in
+random directions, the other towards other vectors. Closer links need less. Then all pairs of visitors and members of the
+visited cells are verified by cosine in double precision. Vectors of different lengths have no cosine: each length has its
+own index.
+
+A task takes the cells of one first-half centroid: its members once, and each visitor whose traversal gets there, with the
+second halves that it visits in order, so a vector is sent to as many tasks as first centroids are in reach. Members and
+visitors beyond MEMBERS and VISITORS are dealt to separate tasks. Equal vectors are one class with a count, so copies cost
+nothing. Tasks give back numbers of links and a spanning forest, never pairs. A pair that only one side finds counts for both.
+
+The codebooks and the reach come from at most SAMPLE vectors (of each length its share, LEAST_SAMPLE at least); every vector is
+indexed and every vector queries. A codebook has up to CENTROIDS centroids, about the root of a twelfth of the vectors.
+
+Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and name their own component; so does a row without an id, whose component is null. Rows that repeat an id count as
 vectors each. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import by_key, components, cut
 from siltstone.llm.simhash import Forest
 
-SAMPLE = 20_000
+SAMPLE, LEAST_SAMPLE = 20_000, 200
 PLANES = 4
+CENTROIDS = 1024
 MEMBERS, VISITORS = 4096, 16_384
 
 
@@ -45,6 +48,8 @@ class Index:
     over: list[np.ndarray]
     split: int
     reach: float = 0.0
+    #: Number of the first cell of this index among all lengths'.
+    base: int = 0
 
     @staticmethod
     def fit(unit: np.ndarray, k: int, cosine: float, recall: float) -> Index:
@@ -77,6 +82,18 @@ class Index:
             out.append(way**2)
         return out[0], out[1]
 
+    def traverse(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The multi-sequence traversal of each vector: (row, first, number of seconds, seconds) of the visited cells.
+
+        Both halves' ways are sorted; along the first, the second is followed for as long as the sum stays within reach.
+        """
+        a, b = self.bounds(unit)
+        near_a, near_b = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
+        way_a, way_b = np.take_along_axis(a, near_a, 1), np.take_along_axis(b, near_b, 1)
+        row, at = np.nonzero(way_a + way_b[:, :1] <= self.reach)
+        inside = way_a[row, at][:, None] + way_b[row] <= self.reach
+        return row, near_a[row, at], inside.sum(1), near_b[row][inside]
+
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         halves = (unit[:, : self.split], unit[:, self.split :])
         return tuple(((b * b).sum(1) - 2 * h @ b.T).argmin(1) for h, b in zip(halves, self.books, strict=True))
@@ -110,17 +127,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sound = F.coalesce(
         F.col("vec_id").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False)
     )
-    lengths = rows.where(sound).groupBy(F.size(e).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
-        return _result(rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    keyed = rows.select(
-        "vec_id", F.when(sound & (F.size(e) == lengths["d"]), e).alias("e")
-    ).select("vec_id", "e", F.when(e.isNotNull(), F.xxhash64(e)).alias("k1"), F.when(e.isNotNull(), F.xxhash64(F.lit(1), e)).alias("k2"))
+    keyed = rows.select("vec_id", F.when(sound, e).alias("e")).select(
+        "vec_id", "e", F.when(e.isNotNull(), F.xxhash64(e)).alias("k1"), F.when(e.isNotNull(), F.xxhash64(F.lit(1), e)).alias("k2")
+    )
     classes = cut(keyed.where(e.isNotNull()).groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("e").alias("e")))
-    n = classes.count()
-    k = int(np.clip(2 ** round(np.log2(max(1.0, (n / 12) ** 0.5))), 4, 256))
-    taken = classes.orderBy("k1", "k2").limit(SAMPLE).select("e").toArrow()
-    index = classes.sparkSession.sparkContext.broadcast(Index.fit(_unit(taken.column("e")), k, cosine, recall))
+    lengths = {r["d"]: r["n"] for r in classes.groupBy(F.size(e).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a length
+    n = sum(lengths.values())
+    indexes: dict[int, Index] = {}
+    base = 0
+    for d, c in sorted(lengths.items()):
+        taken = classes.where(F.size(e) == d).orderBy("k1", "k2").limit(max(LEAST_SAMPLE, SAMPLE * c // n)).select("e").toArrow()
+        k = int(np.clip(2 ** round(np.log2(max(1.0, (c / 12) ** 0.5))), 4, CENTROIDS))
+        indexes[d] = Index.fit(_unit(taken.column("e")), k, cosine, recall)
+        indexes[d].base = base
+        base += len(indexes[d].books[0])
+    if not indexes:
+        return _result(rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    index = classes.sparkSession.sparkContext.broadcast(indexes)
 
     found = cut(_compare(classes.select("rep", "m", "e"), index, cosine))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -145,24 +168,28 @@ def _compare(classes: DataFrame, index, cosine: float) -> DataFrame:  # noqa: AN
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 2048):
-                part = batch.slice(s, 2048)
-                unit = _unit(part.column(2))
-                own, _ = index.value.cells(unit)
-                there = index.value.bounds(unit)[0] <= index.value.reach
-                # the member's row comes first, then the cells that its traversal gets to
-                row, to = np.nonzero(there)
-                take = np.r_[np.arange(len(own)), row]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.r_[own, to].astype(np.int32)),
-                        pa.array(np.r_[np.ones(len(own), bool), np.zeros(len(row), bool)]),
-                        *[part.column(c).take(pa.array(take)) for c in range(3)],
-                    ],
-                    names=["cell", "own", "rep", "m", "e"],
-                )
-
-    sent = classes.mapInArrow(visits, f"cell int, own boolean, rep long, m long, e {element}")
+            size = batch.column(2).value_lengths().to_numpy()
+            for d in np.unique(size).tolist():
+                mine, known = np.flatnonzero(size == d), index.value[d]
+                for s in range(0, len(mine), 512):
+                    part = batch.take(pa.array(mine[s : s + 512]))
+                    unit = _unit(part.column(2))
+                    own, _ = known.cells(unit)
+                    # the member's row comes first, then the cells that its traversal gets to
+                    row, to, count, seconds = known.traverse(unit)
+                    take = pa.array(np.r_[np.arange(len(own)), row])
+                    edge = np.r_[np.zeros(len(own), np.int32), 0, np.cumsum(count)].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array((np.r_[own, to] + known.base).astype(np.int32)),
+                            pa.array(np.r_[np.ones(len(own), bool), np.zeros(len(row), bool)]),
+                            *[part.column(c).take(take) for c in range(3)],
+                            pa.ListArray.from_arrays(pa.array(edge), pa.array(seconds.astype(np.int32))),
+                        ],
+                        names=["cell", "own", "rep", "m", "e", "seconds"],
+                    )
+
+    sent = classes.mapInArrow(visits, f"cell int, own boolean, rep long, m long, e {element}, seconds array<int>")
     sizes = sent.groupBy("cell").agg(F.count_if("own").alias("members"), F.count_if(~F.col("own")).alias("visitors")).collect()  # one row a centroid
     blocks = {r["cell"]: (-(-max(1, r["members"]) // MEMBERS), -(-max(1, r["visitors"]) // VISITORS)) for r in sizes}
     number = lambda k: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, b in blocks.items() for x in (c, b[k])]), F.col("cell")), F.lit(1))
@@ -184,9 +211,9 @@ def _compare(classes: DataFrame, index, cosine: float) -> DataFrame:  # noqa: AN
     return dealt.repartition("cell", "mb", "vb").sortWithinPartitions("cell", "mb", "vb").mapInArrow(compare, "rep long, links long, root long")
 
 
-def _verify(members: pa.Table, visitors: pa.Table, index: Index, cosine: float) -> Iterator[pa.RecordBatch]:
-    cell = members.column("cell")[0].as_py()
+def _verify(members: pa.Table, visitors: pa.Table, indexes: dict[int, Index], cosine: float) -> Iterator[pa.RecordBatch]:
     y, x = _unit(members.column("e")), _unit(visitors.column("e"))
+    index = indexes[y.shape[1]]
     rep = np.r_[members.column("rep").to_numpy(), visitors.column("rep").to_numpy()]
     m = np.r_[members.column("m").to_numpy(), visitors.column("m").to_numpy()]
     second = index.cells(y)[1]
@@ -194,15 +221,17 @@ def _verify(members: pa.Table, visitors: pa.Table, index: Index, cosine: float)
     first_x, second_x = index.cells(x)
     order = np.argsort(second, kind="stable")
     edge = np.r_[0, np.flatnonzero(np.diff(second[order])) + 1, len(order)]
+    lists = visitors.column("seconds").combine_chunks()
+    who, where = np.repeat(np.arange(len(x)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    by_cell = np.argsort(where, kind="stable")
+    who, where = who[by_cell], where[by_cell]
     links = np.zeros(len(rep), np.int64)
     forest = Forest(len(rep))
-    for s in range(0, len(x), 4096):
-        ways = index.bounds(x[s : s + 4096])
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            mine = order[a:b]
-            come = np.flatnonzero(ways[0][:, cell] + ways[1][:, second[mine[0]]] <= index.reach) + s
-            if not len(come):
-                continue
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        mine = order[a:b]
+        lo, hi = np.searchsorted(where, [second[mine[0]], second[mine[0]] + 1])
+        for s in range(lo, hi, 4096):
+            come = who[s : min(s + 4096, hi)]
             p, q = np.nonzero(x[come] @ y[mine].T >= cosine)
             p, q = come[p], mine[q]
             keep = rep[len(y) + p] != rep[q]

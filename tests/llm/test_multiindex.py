@@ -69,3 +69,23 @@ def test_chains_join(spark):
 def test_nothing(spark):
     assert run(spark, []) == []
     assert all(r[1] == 0 for r in run(spark, ODD))
+
+
+def test_every_length_is_compared(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 4.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.01, 0.0]), (5, [3.0]), (6, [4.0]), (7, [-1.0])]
+    assert run(spark, rows) == [(0, 1, 0, True), (1, 1, 0, False), (2, 1, 2, True), (3, 0, 3, True), (4, 1, 2, False), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+
+
+def test_traversal_visits_by_the_sum_of_both_ways():
+    unit = np.random.default_rng(4).standard_normal((500, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    index = M.Index.fit(unit, 16, 0.9, 0.99)
+    a, b = index.bounds(unit[:40])
+    row, first, count, seconds = index.traverse(unit[:40])
+    got = set(zip(np.repeat(row, count).tolist(), np.repeat(first, count).tolist(), seconds.tolist()))
+    assert got == {(r, i, j) for r in range(40) for i in range(16) for j in range(16) if a[r, i] + b[r, j] <= index.reach}
+    at = 0
+    for r, n in zip(row, count):
+        assert (np.diff(b[r, seconds[at : at + n]]) >= 0).all()
+        at += n
+    assert (np.diff(a[row, first])[np.diff(row) == 0] >= 0).all()
