@@ -1,10 +1,14 @@
 """Harmonic packing of token sequences.
 
-A document's tokens are cut into pieces whose lengths are capacity/1, capacity/2, capacity/4, ... down to one token: full
-sequences first, then the binary digits of what remains, longest first. Class k holds the pieces of length capacity/k and
-fills a sequence with exactly k of them. Each worker fills the bins of its own classes, with no exchange: sequence ids hold
-the partition's number in their upper bits. What is left in a class when a partition ends is laid into sequences whose
-lengths are powers of two, so every sequence is full or a power of two and none is padded.
+Documents longer than a sequence give full sequences first; only the remainder is packed with others. A remainder of a length in
+(capacity/(k+1), capacity/k] belongs to class k, and class k's bins take exactly k of them, whole. A bin that has its k
+documents still lacks less than one more of them; the next documents of the worker fill that gap, cut where it is full,
+and what is left of them is classed by its own length. So a document is cut about once, every closed bin is full, and none is
+padded.
+
+Each worker fills the bins of its own classes, with no exchange: sequence ids hold the partition's number in their upper
+bits. What stands in open bins when a partition ends (less than a sequence a class) is laid out one after the other, cut at full
+sequences, and the last, shorter rest into sequences whose lengths are powers of two, which need no padding either.
 
 Cases: a null text is an empty one: the end id alone, one piece. Null and repeated ids keep their rows and are packed each
 for itself. Very long texts only add full sequences. An empty table gives no rows. Extra columns are ignored.
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,37 +59,67 @@ def encoder(path: str, ranks_path: str | None = None) -> Callable[[str], np.ndar
     return lambda text: slow(text) if _PLAIN.search(text) else fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
 
 
-def piece_lengths(n: int, capacity: int) -> list[int]:
-    """Full sequences, then the powers of two in the rest, longest first."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if rest >> b & 1]
-
-
 class Bins:
-    """The open bins of one worker: per class, pieces that wait for their sequence to fill."""
+    """The open bins of one worker. A piece is (doc, start, length, doc_tokens, ids as bytes)."""
 
     def __init__(self, capacity: int, first_id: int) -> None:
         self.capacity, self.next_id = capacity, first_id
-        self.wait: dict[int, list[tuple]] = {}
-
-    def add(self, length: int, piece: tuple) -> list[tuple]:
-        """The pieces of a sequence that this one fills, each with sequence and offset."""
-        held = self.wait.setdefault(length, [])
-        held.append(piece)
-        return self._lay(length, self.wait.pop(length)) if len(held) == self.capacity // length else []
+        #: Class to pieces and tokens of its open bin, and bins that hold their number of documents but are not full.
+        self.open: dict[int, tuple[list[tuple], int]] = {}
+        self.gaps: deque[tuple[list[tuple], int]] = deque()
+
+    def add(self, doc: int | None, ids: np.ndarray) -> Iterator[tuple]:
+        """Take a document; the pieces of the sequences that it fills, each with sequence and offset."""
+        n, at = len(ids), 0
+        piece = lambda size: (doc, at, size, n, ids[at : at + size].tobytes())
+        while n - at >= self.capacity:
+            yield from self._lay([piece(self.capacity)])
+            at += self.capacity
+        while at < n and self.gaps:
+            pieces, held = self.gaps[0]
+            size = min(self.capacity - held, n - at)
+            pieces.append(piece(size))
+            at += size
+            if held + size == self.capacity:
+                self.gaps.popleft()
+                yield from self._lay(pieces)
+            else:
+                self.gaps[0] = (pieces, held + size)
+        if at < n:
+            size = n - at
+            k = self.capacity // size
+            pieces, held = self.open.pop(k, ([], 0))
+            pieces.append(piece(size))
+            if len(pieces) < k:
+                self.open[k] = (pieces, held + size)
+            elif held + size == self.capacity:
+                yield from self._lay(pieces)
+            else:
+                self.gaps.append((pieces, held + size))
 
     def close(self) -> Iterator[tuple]:
-        for length, held in sorted(self.wait.items(), reverse=True):
-            at = 0
-            for b in range(len(held).bit_length() - 1, -1, -1):
-                if len(held) >> b & 1:
-                    yield from self._lay(length, held[at : at + (1 << b)])
-                    at += 1 << b
-        self.wait = {}
-
-    def _lay(self, length: int, pieces: list[tuple]) -> list[tuple]:
+        """What is left, in full sequences and then in powers of two."""
+        left = deque(p for pieces, _ in [*self.gaps, *(self.open[k] for k in sorted(self.open))] for p in pieces)
+        self.open, self.gaps = {}, deque()
+        total = sum(p[2] for p in left)
+        rest = total % self.capacity
+        for size in [self.capacity] * (total // self.capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]:
+            pieces, held = [], 0
+            while held < size:
+                doc, start, length, n, ids = left.popleft()
+                take = min(length, size - held)
+                pieces.append((doc, start, take, n, ids[: 4 * take]))
+                if take < length:
+                    left.appendleft((doc, start + take, length - take, n, ids[4 * take :]))
+                held += take
+            yield from self._lay(pieces)
+
+    def _lay(self, pieces: list[tuple]) -> Iterator[tuple]:
         own, self.next_id = self.next_id, self.next_id + 1
-        return [(*p, own, i * length) for i, p in enumerate(pieces)]
+        offset = 0
+        for p in pieces:
+            yield (*p, own, offset)
+            offset += p[2]
 
 
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
@@ -114,12 +149,8 @@ def pack(
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                at, n = 0, len(ids)
-                for length in piece_lengths(n, capacity):
-                    full = bins.add(length, (doc, at, length, n, ids[at : at + length].tobytes()))
-                    at += length
-                    out += full
-                held += n
+                out += bins.add(doc, ids)
+                held += len(ids)
                 if held > 1 << 20:
                     yield _batch(out)
                     out, held = [], 0

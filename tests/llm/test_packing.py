@@ -55,3 +55,31 @@ def test_every_id_once_and_no_padding(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bins_take_a_class_count_of_whole_documents():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 3000, 2000)
+    bins = packing.Bins(1024, 0)
+    before, after = [], []
+    for d, n in enumerate(lengths):
+        before += bins.add(d, np.full(n, d, np.uint32).astype("<u4"))
+    after += bins.close()
+    laid = defaultdict(list)
+    for p in before:
+        laid[p[5]].append(p)
+    for pieces in laid.values():
+        assert sum(p[2] for p in pieces) == 1024
+        if pieces[0][2] < 1024:
+            # the class is that of the first piece, and it holds as many pieces of that class before its gap is filled
+            k = 1024 // pieces[0][2]
+            assert [1024 // p[2] for p in pieces[:k]] == [k] * k
+            # what fills the gap is cut only where it is full or left whole
+            assert all(p[1] + p[2] == p[3] for p in pieces[k:-1])
+    count = defaultdict(int)
+    for p in [*before, *after]:
+        count[p[0]] += 1
+    whole = sum(int(n) // 1024 for n in lengths)
+    sequences = len({p[5] for p in [*before, *after]})
+    assert sum(count.values()) <= len(lengths) + whole + sequences
+    assert sum(p[2] for p in [*before, *after]) == lengths.sum()
