@@ -32,11 +32,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = multiset.edited_fingerprints(table(spark, sf_dir, "documents"))
+    found = multiset.edited_fingerprints(table(spark, sf_dir, "documents"), {"edited_sha256": F.sha2("edited", 256)})
     return found.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         multiset.digits(F.col("fp")).alias("fingerprint"),
         multiset.digits(F.col("edited_fp")).alias("edited_fingerprint"),
         "near_edited",
