@@ -308,11 +308,16 @@ def mean_shift_step(points: DataFrame, seeds: np.ndarray, bandwidth: float) -> t
     return np.where(n[:, None] > 0, s[k:].reshape(k, d) / np.maximum(n, 1)[:, None], seeds), n
 
 
-def mean_shift(points: DataFrame, bandwidth: float | None = None, iterations: int = 100, seed: int = 42, most_seeds: int = SAMPLE) -> DataFrame:
-    """Flat-kernel modes from the occupied cells of a grid (the ``most_seeds`` fullest), merged within a bandwidth; nearest mode assigned."""
+def mean_shift(points: DataFrame, bandwidth: float | None = None, iterations: int = 100, seed: int = 42, most_seeds: int = 100_000) -> DataFrame:
+    """Flat-kernel modes from all occupied cells of a grid, merged within a bandwidth; nearest mode assigned.
+
+    More than ``most_seeds`` occupied cells mean that the bandwidth is too small for the data, and are an error.
+    """
     bandwidth = bandwidth or estimate_bandwidth(points, seed=seed)
     cell = F.transform("v", lambda x: F.round(x / bandwidth))
-    cells = points.groupBy(cell.alias("c")).count().orderBy(F.desc("count"), F.col("c").cast("string")).limit(most_seeds).collect()
+    cells = sorted(points.select(cell.alias("c")).distinct().limit(most_seeds + 1).collect())
+    if len(cells) > most_seeds:
+        raise ValueError(f"over {most_seeds} cells of bandwidth {bandwidth}")
     now = np.array([r["c"] for r in cells], float) * bandwidth
     for _ in range(iterations):
         new, n = mean_shift_step(points, now, bandwidth)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from siltstone.functions.scalar import col
 from siltstone.operators.graph import cut
 
-#: Most categories that one column may be expanded to; a column with more keeps its most frequent ones.
-MOST_CATEGORIES = 1000
+#: Most categories that one column may be expanded to (all port numbers); a column with more raises an error, none is left out.
+MOST_CATEGORIES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,10 @@ def scaled(c: Column, mean: float, deviation: float) -> Column:
 
 
 def categories(df: DataFrame, column: str, most: int = MOST_CATEGORIES) -> list:
-    """Sorted categories, the ``most`` frequent ones."""
-    rows = df.where(col(column).isNotNull()).groupBy(col(column).alias("c")).count().orderBy(F.desc("count"), "c").limit(most).collect()
+    """All categories of a column, sorted; more than ``most`` are an error."""
+    rows = df.where(col(column).isNotNull()).select(col(column).alias("c")).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"column {column} has over {most} categories")
     return sorted(r["c"] for r in rows)
 
 
@@ -59,19 +62,25 @@ def one_hot(column: str, values: list) -> list[Column]:
     return [F.when(col(column) == v, 1.0).otherwise(0.0).alias(f"{column}_{v}") for v in values]
 
 
+def one_hot_array(df: DataFrame, column: str, values: list) -> Column:
+    """array<double>: the 0/1 columns of many categories in one expression, which looks the category's place up."""
+    n, kind = len(values), df.select(col(column)).schema[0].dataType.simpleString()
+    listed = F.from_json(F.lit(json.dumps([str(v) for v in values])), "array<string>").cast(f"array<{kind}>")
+    at = F.coalesce(F.array_position(listed, col(column)), F.lit(0)).cast("int")
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    return F.when(at > 0, F.concat(zeros(at - 1), F.array(F.lit(1.0)), zeros(n - at))).otherwise(zeros(F.lit(n)))
+
+
 def build(df: DataFrame, spec: FeatureSpec, row_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep..., v): the assembled vector of each row. One statistics pass, then a projection."""
+    """(id, keep..., v): the assembled vector of each row. One statistics pass, one for the categories, then a projection."""
     stats = moments(df, [c for b in spec.blocks if b.kind == "scale" for c in b.columns]) if any(b.kind == "scale" for b in spec.blocks) else {}
     parts: list[Column] = []
     for b in spec.blocks:
-        for c in b.columns:
-            if b.kind == "onehot":
-                parts += one_hot(c, categories(df, c))
-            elif b.kind == "scale":
-                parts.append(scaled(col(c), *stats[c]))
-            else:
-                parts.append(F.coalesce(col(c).cast("double"), F.lit(0.0)))
-    return df.select(col(row_id).cast("long").alias("id"), *map(col, keep), F.array(*parts).alias("v"))
+        if b.kind == "onehot":
+            parts += [one_hot_array(df, c, categories(df, c)) for c in b.columns]
+        elif b.columns:
+            parts.append(F.array(*[scaled(col(c), *stats[c]) if b.kind == "scale" else F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in b.columns]))
+    return df.select(col(row_id).cast("long").alias("id"), *map(col, keep), F.concat(*parts).alias("v"))
 
 
 def literal(rows: np.ndarray) -> Column:
@@ -131,10 +140,14 @@ def tfidf(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
     return raw.select(doc_id, "term", (F.col("w") / norm).alias("weight"))
 
 
+def projection_weights(width: int, size: int = 16, seed: int = 42) -> np.ndarray:
+    """(size, width): uniform weights scaled by both sides, as an untrained dense layer has them."""
+    return np.random.default_rng(seed).uniform(-1, 1, (size, width)) * np.sqrt(6 / (size + width))
+
+
 def random_projection(v: Column, width: int, size: int = 16, seed: int = 42) -> Column:
     """An untrained dense layer: a seeded projection, negatives cut to 0."""
-    w = np.random.default_rng(seed).uniform(-1, 1, (size, width)) * np.sqrt(6 / (size + width))
-    return F.transform(literal(w), lambda a: F.greatest(F.lit(0.0), dot(a, v)))
+    return F.transform(literal(projection_weights(width, size, seed)), lambda a: F.greatest(F.lit(0.0), dot(a, v)))
 
 
 def edges(df: DataFrame, source: str, target: str, order: str, attributes: list[str]) -> DataFrame:

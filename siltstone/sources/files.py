@@ -61,7 +61,7 @@ def zip_labels(df: DataFrame, labels: DataFrame, row_id: str, label_id: str, out
     return df.join(shifted, F.col(row_id) == F.col("_row")).drop("_row")
 
 
-def read_database(spark: SparkSession, table: str = "DataDeck_Apriori", url: str | None = None, user: str | None = None, password: str | None = None, **options: str) -> DataFrame:
+def read_database(spark: SparkSession, table: str, url: str | None = None, user: str | None = None, password: str | None = None, **options: str) -> DataFrame:
     """A table over JDBC; address and credentials come from arguments or SILTSTONE_DB_URL, _USER and _PASSWORD.
 
     partitionColumn, lowerBound, upperBound and numPartitions may be given to read in parallel. Filters and columns are pushed down.
@@ -77,6 +77,7 @@ def read_database(spark: SparkSession, table: str = "DataDeck_Apriori", url: str
 
 
 def create_flow_table(spark: SparkSession, name: str) -> None:
+    """An empty table of flows with an id, if there is none of that name."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.flow_schema(with_id=True).fields)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
 
