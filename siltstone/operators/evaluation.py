@@ -106,7 +106,7 @@ def mutual_information(table: DataFrame) -> DataFrame:
     """(normalized_mutual_information), by the arithmetic mean of the entropies; 1 where both entropies are 0."""
     n = table.agg(F.sum("n").alias("t"))
     y, p = (table.groupBy(c).agg(F.sum("n").alias(f"n{c}")) for c in "yp")
-    joint = table.join(F.broadcast(y), "y").join(F.broadcast(p), "p").crossJoin(n)  # classes and clusters are few
+    joint = table.join(y, "y").join(p, "p").crossJoin(n)  # n is one row
     mi = joint.agg(F.coalesce(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("ny") * F.col("np")))), F.lit(0.0)).alias("mi"))
     entropy = lambda d, c: d.crossJoin(n).agg(F.coalesce(-F.sum(F.col(c) / F.col("t") * F.log(F.col(c) / F.col("t"))), F.lit(0.0)).alias(f"h{c}"))
     one = mi.crossJoin(entropy(y, "ny")).crossJoin(entropy(p, "np"))

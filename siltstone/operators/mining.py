@@ -154,8 +154,8 @@ def star_edges(tx: DataFrame, confidence: float) -> DataFrame:
     pair = pair_counts(tx)
     both = pair.unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     return (
-        both.join(F.broadcast(single.select(F.col("item").alias("a"), F.col("n").alias("na"))), "a")
-        .join(F.broadcast(single.select(F.col("item").alias("b"), F.col("n").alias("nb"))), "b")  # a row per column
+        both.join(single.select(F.col("item").alias("a"), F.col("n").alias("na")), "a")
+        .join(single.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
         .select(F.col("a").alias("seed"), F.col("b").alias("member"), "n", (F.col("n") / F.col("na")).alias("seed_confidence"), (F.col("n") / F.col("nb")).alias("member_confidence"))
         .where((F.col("seed_confidence") >= confidence) & (F.col("member_confidence") >= confidence))
     )
@@ -175,9 +175,3 @@ def size_histogram(groups: DataFrame) -> DataFrame:
 def on_off_transactions(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
     """(row_id, items): names of the columns that are on, from on/off text columns."""
     return df.select(row_id, F.array_compact(F.array(*[F.when(col(c) == "on", F.lit(c)) for c in sorted(columns)])).alias("items"))
-
-
-def all_stars(counts: Counts, confidence: float) -> list[tuple[int, list[str]]]:
-    """(group_id, items): the full star of every column in name order, taken or not."""
-    names = sorted(counts.single)
-    return [(i, sorted([a, *[b for b in names if b != a and counts.related(a, b, confidence)]])) for i, a in enumerate(names)]

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.scalar import col, positive_items, ratio, weighted
 
+#: Groups that one literal may hold.
+MOST_GROUPS = 100_000
+# Weights of the scores of a threshold and of a group.
 WEIGHTS = {"accuracy": 0.15, "precision": 0.65, "recall": 0.15, "f1": 0.05}
 ROW_WEIGHTS = {"accuracy": 0.45, "precision": 0.35, "recall": 0.15, "f1": 0.05}
 
@@ -121,12 +124,21 @@ def confidence_grid(scored: DataFrame, confidence: float = 0.7, widest: float =
 
 
 def difference_items(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(item): items of some group of a that some group of b lacks. Both sides hold a row per group; b is broadcast."""
-    rest = a.select(F.col("items").alias("x")).crossJoin(F.broadcast(b.select(F.col("items").alias("y"))))
-    return rest.select(F.explode(F.array_except("x", "y")).alias("item")).distinct()
+    """(item): items of some group of a that some group of b lacks, which are those that not all groups of b hold."""
+    groups = b.agg(F.count(F.lit(1)).alias("groups"))
+    held = b.select(F.explode(F.array_distinct("items")).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    mine = a.select(F.explode("items").alias("item")).distinct().join(held, "item", "left")
+    return mine.join(groups, F.coalesce("n", F.lit(0)) < F.col("groups")).select("item")  # groups is one row
 
 
 def difference_sets(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(items): the distinct non-empty differences of a group of a and one of b."""
-    rest = a.select(F.col("items").alias("x")).crossJoin(F.broadcast(b.select(F.col("items").alias("y"))))
-    return rest.select(F.array_sort(F.array_except("x", "y")).alias("items")).where(F.size("items") > 0).distinct()
+    """(items): the distinct non-empty differences of a group of a and one of b.
+
+    b's distinct groups travel as one literal; groups come from columns, and more than MOST_GROUPS of them are an error.
+    """
+    rows = b.select("items").distinct().limit(MOST_GROUPS + 1).collect()
+    if len(rows) > MOST_GROUPS:
+        raise ValueError(f"over {MOST_GROUPS} groups to subtract")
+    others = F.from_json(F.lit(json.dumps([r["items"] for r in rows])), "array<array<string>>")
+    rest = a.select(F.explode(F.transform(others, lambda y: F.array_sort(F.array_except("items", y)))).alias("items"))
+    return rest.where(F.size("items") > 0).distinct()

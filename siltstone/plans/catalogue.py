@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from siltstone.functions import scalar as S
 from siltstone.operators import blocks, clustering, evaluation, features, grid, mining, signatures
 from siltstone.plans import relational  # noqa: F401  registers its queries
+from siltstone.operators.graph import cut
 from siltstone.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from siltstone.sources import derived as D
-from siltstone.sources import files
+from siltstone.sources import files, schemas
 
 CONFIDENCE = 0.7
 
 # --- shared SQL -------------------------------------------------------------------------------------------------------
 
 ITEMS = sorted(D.FLOW)
-FLOW = f"WITH {D.ORDER_FLOW_SQL}"
+FLOW = f"WITH RECURSIVE {D.ORDER_FLOW_SQL}"
 BINARY = (
     FLOW
     + f""",
@@ -28,18 +29,41 @@ names AS (SELECT unnest([{", ".join(f"'{c}'" for c in ITEMS)}]) AS item)"""
 )
 
 
-def _stars_sql(name: str, side: int, confidence: str | float = CONFIDENCE) -> str:
+def _edges_sql(name: str, side: int) -> str:
     return f"""
 c{name} AS (SELECT item, count(*) AS n FROM long WHERE anomal = {side} GROUP BY item),
 p{name} AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM long x JOIN long y ON x.row_id = y.row_id AND x.item <> y.item WHERE x.anomal = {side} GROUP BY 1, 2),
 e{name} AS (SELECT p.a AS seed, p.b AS member, p.n, p.n / ca.n AS seed_confidence, p.n / cb.n AS member_confidence
-  FROM p{name} p JOIN c{name} ca ON p.a = ca.item JOIN c{name} cb ON p.b = cb.item),
+  FROM p{name} p JOIN c{name} ca ON p.a = ca.item JOIN c{name} cb ON p.b = cb.item)"""
+
+
+def _stars_sql(name: str, side: int, confidence: float = CONFIDENCE) -> str:
+    return f"""{_edges_sql(name, side)},
 s{name} AS (SELECT item AS seed, item FROM names UNION ALL SELECT seed, member FROM e{name} WHERE seed_confidence >= {confidence} AND member_confidence >= {confidence}),
 g{name} AS (SELECT CAST(row_number() OVER (ORDER BY seed) - 1 AS INT) AS group_id, seed, string_agg(item, ',' ORDER BY item) AS items, count(*) AS size FROM s{name} GROUP BY seed)"""
 
 
-CELLS = f"""{BINARY},{_stars_sql("1", 1)},
-hit AS (SELECT g.group_id, l.row_id, l.anomal FROM g1 g JOIN s1 s ON g.seed = s.seed JOIN long l ON l.item = s.item GROUP BY g.group_id, l.row_id, l.anomal, g.size HAVING count(*) = g.size),
+def _groups_sql(name: str, side: int, confidences: str) -> str:
+    """The related groups with their snapshots at every threshold t of the list: g (t, group_id, seed, step, items, size) and s (t, group_id, item).
+
+    In name order a column seeds a group unless an earlier seed has taken it, and takes all columns related to it, one a step.
+    """
+    return f"""{_edges_sql(name, side)},
+t{name} AS (SELECT unnest({confidences}) AS t),
+m{name} AS (SELECT t, n.item AS seed, row_number() OVER (PARTITION BY t ORDER BY n.item) AS place, coalesce(list(e.member ORDER BY e.member) FILTER (e.member IS NOT NULL), []) AS m
+  FROM t{name} CROSS JOIN names n LEFT JOIN e{name} e ON e.seed = n.item AND e.seed_confidence >= t AND e.member_confidence >= t GROUP BY t, n.item),
+w{name}(t, place, taken, fresh) AS (SELECT t, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false FROM t{name}
+  UNION ALL SELECT m.t, m.place, CASE WHEN list_contains(w.taken, m.seed) THEN w.taken ELSE list_concat(w.taken, m.m) END, NOT list_contains(w.taken, m.seed) FROM w{name} w JOIN m{name} m ON m.t = w.t AND m.place = w.place + 1),
+k{name} AS (SELECT w.t, w.place, m.seed, unnest(generate_series(0, len(m.m))) AS step, m.m FROM w{name} w JOIN m{name} m ON m.t = w.t AND m.place = w.place WHERE w.fresh),
+g{name} AS (SELECT t, CAST(row_number() OVER (PARTITION BY t ORDER BY place, step) - 1 AS INT) AS group_id, seed, CAST(step AS INT) AS step, list_prepend(seed, m[1:step]) AS xs,
+  array_to_string(list_sort(list_prepend(seed, m[1:step])), ',') AS items, CAST(step + 1 AS BIGINT) AS size FROM k{name}),
+s{name} AS (SELECT t, group_id, unnest(xs) AS item FROM g{name})"""
+
+
+ONE = f"[CAST({CONFIDENCE} AS DOUBLE)]"
+GROUPS = f"{BINARY},{_groups_sql('1', 1, ONE)}"
+CELLS = f"""{GROUPS},
+hit AS (SELECT s.group_id, l.row_id, l.anomal FROM s1 s JOIN long l ON l.item = s.item JOIN g1 g ON g.group_id = s.group_id GROUP BY s.group_id, l.row_id, l.anomal, g.size HAVING count(*) = g.size),
 total AS (SELECT CAST(sum(anomal) AS BIGINT) AS p, CAST(sum(1 - anomal) AS BIGINT) AS n FROM b),
 cells AS (SELECT g.group_id, coalesce(CAST(sum(h.anomal) AS BIGINT), 0) AS TP, any_value(p) - coalesce(CAST(sum(h.anomal) AS BIGINT), 0) AS FP,
   any_value(n) - coalesce(CAST(sum(1 - h.anomal) AS BIGINT), 0) AS TN, coalesce(CAST(sum(1 - h.anomal) AS BIGINT), 0) AS FN
@@ -73,12 +97,17 @@ def baskets(spark: SparkSession, sf_dir: str, anomal: int | None = 1) -> DataFra
     return mining.transactions(rows if anomal is None else rows.where(F.col("anomal") == anomal), "row_id", ITEMS)
 
 
-def star_groups(spark: SparkSession, sf_dir: str, confidence: float = CONFIDENCE, anomal: int = 1) -> list[tuple[int, list[str]]]:
-    return mining.all_stars(mining.collect_counts(baskets(spark, sf_dir, anomal), ITEMS), confidence)
+def groups(spark: SparkSession, sf_dir: str, confidence: float = CONFIDENCE, anomal: int = 1) -> list[mining.Group]:
+    """Related groups of one side with the snapshots of their growth."""
+    return mining.related_groups(mining.collect_counts(baskets(spark, sf_dir, anomal), ITEMS), confidence)
+
+
+def _listed(found: list[mining.Group]) -> list[tuple[int, list[str]]]:
+    return [(g.group_id, list(g.items)) for g in found]
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signatures.confusion(matrix(spark, sf_dir), star_groups(spark, sf_dir))
+    return signatures.confusion(matrix(spark, sf_dir), _listed(groups(spark, sf_dir)))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,15 +224,34 @@ def star_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.stars(baskets(spark, sf_dir), ITEMS, CONFIDENCE).select("seed", _joined().alias("items"))
 
 
-@query()
+@query(f"{GROUPS} SELECT group_id, seed, step, items FROM g1")
 def related_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = mining.related_groups(mining.collect_counts(baskets(spark, sf_dir), ITEMS), CONFIDENCE)
-    return mining.groups_frame(spark, groups).select("group_id", "seed", "step", _joined().alias("items"))
+    return mining.groups_frame(spark, groups(spark, sf_dir)).select("group_id", "seed", "step", _joined().alias("items"))
+
 
+def _threshold_query(confidence: float) -> None:
+    name = f"related_groups_{round(confidence * 100)}"
 
-@query(f"{BINARY},{_stars_sql('1', 1)} SELECT CAST(size AS INT) AS size, count(*) AS n FROM g1 GROUP BY size")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return mining.groups_frame(spark, groups(spark, sf_dir, confidence)).select("group_id", "seed", "step", _joined().alias("items"))
+
+    run.__name__ = name
+    query(f"{BINARY},{_groups_sql('1', 1, f'[CAST({confidence} AS DOUBLE)]')} SELECT group_id, seed, step, items FROM g1")(run)
+
+
+for _confidence in (0.8, 0.9):
+    _threshold_query(_confidence)
+
+
+@query(f"{GROUPS} SELECT group_id, seed, items FROM (SELECT CAST(row_number() OVER (ORDER BY group_id) - 1 AS INT) AS group_id, seed, items FROM (SELECT *, max(step) OVER (PARTITION BY seed) AS last FROM g1) WHERE step = last)")
+def related_groups_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mining.related_groups(mining.collect_counts(baskets(spark, sf_dir), ITEMS), CONFIDENCE, snapshots=False)
+    return mining.groups_frame(spark, found).select("group_id", "seed", _joined().alias("items"))
+
+
+@query(f"{GROUPS} SELECT CAST(size AS INT) AS size, count(*) AS n FROM g1 GROUP BY size")
 def group_size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.size_histogram(mining.stars(baskets(spark, sf_dir), ITEMS, CONFIDENCE))
+    return mining.size_histogram(mining.groups_frame(spark, groups(spark, sf_dir)))
 
 
 # --- signatures -------------------------------------------------------------------------------------------------------
@@ -233,39 +281,37 @@ def signature_top5_with_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{BINARY},{_stars_sql("1", 1)}, pick AS (SELECT * FROM g1 WHERE group_id IN (0, 3, 5)),
-hit AS (SELECT g.group_id, l.row_id FROM pick g JOIN s1 s ON g.seed = s.seed JOIN long l ON l.item = s.item AND l.anomal = 1 GROUP BY g.group_id, l.row_id, g.size HAVING count(*) = g.size),
-q AS (SELECT CAST((SELECT count(*) FROM hit) AS BIGINT) AS TP, CAST((SELECT sum(anomal) FROM b) * 3 - (SELECT count(*) FROM hit) AS BIGINT) AS FP)
+    f"""{GROUPS}, pick AS (SELECT * FROM g1 WHERE group_id IN (0, 3, 5)),
+hit AS (SELECT g.group_id, l.row_id FROM pick g JOIN s1 s ON g.group_id = s.group_id JOIN long l ON l.item = s.item AND l.anomal = 1 GROUP BY g.group_id, l.row_id, g.size HAVING count(*) = g.size),
+q AS (SELECT CAST((SELECT count(*) FROM hit) AS BIGINT) AS TP, CAST((SELECT sum(anomal) FROM b) * (SELECT count(*) FROM pick) - (SELECT count(*) FROM hit) AS BIGINT) AS FP)
 SELECT TP, FP, CAST(0 AS BIGINT) AS TN, CAST(0 AS BIGINT) AS FN, round(TP / (TP + FP), 6) AS precision, CAST(CASE WHEN TP > 0 THEN 1 ELSE 0 END AS DOUBLE) AS recall FROM q"""
 )
 def selected_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = [g for g in star_groups(spark, sf_dir) if g[0] in (0, 3, 5)]
+    chosen = [g for g in _listed(groups(spark, sf_dir)) if g[0] in (0, 3, 5)]
     return _rounded(signatures.selected(matrix(spark, sf_dir), chosen), "precision", "recall")
 
 
-SWEEP = f"""{BINARY},{_stars_sql("1", 1)},
-ts AS (SELECT CAST(round(0.1 + i * 0.05, 10) AS DOUBLE) AS t FROM generate_series(0, 17) x(i)),
-st AS (SELECT t, item AS seed, item FROM ts, names UNION ALL SELECT t, seed, member FROM ts, e1 WHERE seed_confidence >= t AND member_confidence >= t),
-gt AS (SELECT t, seed, count(*) AS size FROM st GROUP BY t, seed),
-hit AS (SELECT g.t, g.seed, l.row_id, l.anomal FROM gt g JOIN st s ON g.seed = s.seed AND g.t = s.t JOIN long l ON l.item = s.item GROUP BY g.t, g.seed, l.row_id, l.anomal, g.size HAVING count(*) = g.size),
-total AS (SELECT sum(anomal) AS p, sum(1 - anomal) AS n FROM b),
+THRESHOLDS = "list_transform(generate_series(0, 17), lambda i: CAST(round(0.1 + i * 0.05, 10) AS DOUBLE))"
+SWEEP = f"""{BINARY},{_groups_sql("1", 1, THRESHOLDS)},
+hit AS (SELECT g.t, g.group_id, l.row_id, l.anomal FROM g1 g JOIN s1 s ON g.group_id = s.group_id AND g.t = s.t JOIN long l ON l.item = s.item GROUP BY g.t, g.group_id, l.row_id, l.anomal, g.size HAVING count(*) = g.size),
+total AS (SELECT sum(anomal) AS p, sum(1 - anomal) AS n FROM b), many AS (SELECT t, count(*) AS k FROM g1 GROUP BY t),
 ht AS (SELECT t, CAST(sum(anomal) AS BIGINT) AS a, CAST(sum(1 - anomal) AS BIGINT) AS c FROM hit GROUP BY t),
-cells AS (SELECT ts.t AS confidence, coalesce(a, 0) AS TP, CAST({len(ITEMS)} * p AS BIGINT) - coalesce(a, 0) AS FP, CAST({len(ITEMS)} * n AS BIGINT) - coalesce(c, 0) AS TN, coalesce(c, 0) AS FN FROM ts CROSS JOIN total LEFT JOIN ht ON ts.t = ht.t),
+cells AS (SELECT many.t AS confidence, coalesce(a, 0) AS TP, CAST(k * p AS BIGINT) - coalesce(a, 0) AS FP, CAST(k * n AS BIGINT) - coalesce(c, 0) AS TN, coalesce(c, 0) AS FN FROM many CROSS JOIN total LEFT JOIN ht ON many.t = ht.t),
 m AS ({_metrics_sql("cells", "confidence")}),
-w AS (SELECT *, 0.15 * accuracy + 0.65 * precision + 0.15 * recall + 0.05 * f1 AS total_score FROM m)"""
+scored AS (SELECT *, 0.15 * accuracy + 0.65 * precision + 0.15 * recall + 0.05 * f1 AS total_score FROM m)"""
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = mining.collect_counts(baskets(spark, sf_dir), ITEMS)
-    return signatures.sweep(matrix(spark, sf_dir), {t: mining.all_stars(counts, t) for t in signatures.thresholds()})
+    return signatures.sweep(matrix(spark, sf_dir), {t: _listed(mining.related_groups(counts, t)) for t in signatures.thresholds()})
 
 
-@query(f"{SWEEP} SELECT confidence, {ROUNDED}, round(total_score, 6) AS total_score FROM w")
+@query(f"{SWEEP} SELECT confidence, {ROUNDED}, round(total_score, 6) AS total_score FROM scored")
 def confidence_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_sweep(spark, sf_dir), "accuracy", "precision", "recall", "f1", "total_score")
 
 
-@query(f"{SWEEP} SELECT confidence, round(total_score, 6) AS total_score FROM w ORDER BY w.total_score DESC, confidence LIMIT 1")
+@query(f"{SWEEP} SELECT confidence, round(total_score, 6) AS total_score FROM scored ORDER BY scored.total_score DESC, confidence LIMIT 1")
 def confidence_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signatures.best(_sweep(spark, sf_dir)).select("confidence", F.round("total_score", 6).alias("total_score"))
 
@@ -279,12 +325,13 @@ def confidence_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(signatures.confidence_grid(_scored(spark, sf_dir)), "confidence", "total_score")
 
 
-DIFFERENCE = f"""{BINARY},{_stars_sql("1", 1)},{_stars_sql("0", 0)},
-d AS (SELECT x.group_id AS ga, y.group_id AS gb, list_sort(list_filter(string_split(x.items, ','), lambda i: NOT list_contains(string_split(y.items, ','), i))) AS items FROM g1 x, g0 y)"""
+DIFFERENCE = f"""{BINARY},{_groups_sql("1", 1, ONE)},{_groups_sql("0", 0, ONE)},
+d AS (SELECT x.group_id AS ga, y.group_id AS gb, list_sort(list_filter(x.xs, lambda i: NOT list_contains(y.xs, i))) AS items FROM g1 x, g0 y)"""
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(mining.stars(baskets(spark, sf_dir, s), ITEMS, CONFIDENCE) for s in (1, 0))
+    """A count of columns and pairs a side; the groups follow from those."""
+    return tuple(mining.groups_frame(spark, groups(spark, sf_dir, anomal=s)) for s in (1, 0))
 
 
 @query(f"{DIFFERENCE} SELECT DISTINCT unnest(items) AS item FROM d")
@@ -324,6 +371,47 @@ def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", scaled("o_totalprice").alias("price"), scaled("o_custkey").alias("customer"), scaled("one").alias("constant"))
 
 
+def _wide_table(layout: str) -> tuple[list[str], str, list[str]]:
+    """Columns of a layout, SQL of a table that has them over orders, and SQL of the layout's vector, number by number."""
+    spec = schemas.flow_spec(layout)
+    columns = [c for b in spec.blocks for c in b.columns]
+    kinds = {c: b.kind for b in spec.blocks for c in b.columns}
+    made = []
+    for i, c in enumerate(columns):
+        value = {"onehot": "o_orderkey % 5", "plain": f"(o_orderkey + {i}) % 2", "scale": f"o_custkey * {i % 7 + 1} % {31 + i} + o_totalprice / {1000 * (i + 1)}"}[kinds[c]]
+        # one column without variance, and values that are absent here and there
+        value = "3" if c == columns[3] else f"CASE WHEN o_orderkey % 97 = {i + 1} THEN NULL ELSE {value} END" if i % 11 == 5 else value
+        made.append(f"CAST({value} AS DOUBLE) AS {{q}}{c}{{q}}")
+    source = f"SELECT o_orderkey AS id, {', '.join(made)} FROM orders"
+    parts = []
+    for c in columns:
+        if kinds[c] == "onehot":
+            parts += [f"CASE WHEN {{q}}{c}{{q}} = {v} THEN 1.0 ELSE 0.0 END" for v in range(5)]
+        elif kinds[c] == "scale":
+            parts.append(f"CASE WHEN stddev_pop({{q}}{c}{{q}}) OVER () > 0 AND {{q}}{c}{{q}} IS NOT NULL THEN ({{q}}{c}{{q}} - avg({{q}}{c}{{q}}) OVER ()) / stddev_pop({{q}}{c}{{q}}) OVER () ELSE 0.0 END")
+        else:
+            parts.append(f"coalesce({{q}}{c}{{q}}, 0.0)")
+    return columns, source, parts
+
+
+def _layout_query(layout: str) -> None:
+    _, source, parts = _wide_table(layout)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        D.table(spark, sf_dir, "orders").createOrReplaceTempView("siltstone_orders")
+        rows = spark.sql(source.replace("{q}", "`").replace("FROM orders", "FROM siltstone_orders"))
+        built = cut(features.build(rows, schemas.flow_spec(layout), "id"))
+        return built.select("id", *[F.round(F.col("v")[i], 5).alias(f"f{i}") for i in range(len(parts))])
+
+    run.__name__ = f"layout_{layout}"
+    numbers = ", ".join(f"round(CAST({p} AS DOUBLE), 5) AS f{i}" for i, p in enumerate(parts))
+    query(f"WITH t AS ({source}) SELECT id, {numbers} FROM t".replace("{q}", '"'))(run)
+
+
+for _layout in ("a", "b", "c", "d", "port", "protocol", "window"):
+    _layout_query(_layout)
+
+
 USERS = "WITH u AS (SELECT user_id AS row_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}_n" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id)"
 COUNTS = ["click_n", "error_n", "purchase_n", "signup_n", "view_n"]
 BINS = f"""{USERS}, r AS (SELECT min(least({", ".join(COUNTS)})) AS lo, max(greatest({", ".join(COUNTS)})) AS hi FROM u)"""
@@ -382,11 +470,16 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT "column", CAST(nulls AS BIGINT) AS nulls, CAST(0 AS BIGINT) AS nans, CAST(0 AS BIGINT) AS infinities FROM (SELECT 'value' AS "column", count(*) - count(value) AS nulls FROM events
-UNION ALL SELECT 'user_id', count(*) - count(user_id) FROM events)"""
+    """WITH x AS (SELECT CASE event_id % 10 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE WHEN 3 THEN NULL ELSE value END AS x, value FROM events)
+SELECT 'x' AS "column", count(*) - count(x) AS nulls, count(*) FILTER (isnan(x)) AS nans, count(*) FILTER (isinf(x)) AS infinities FROM x
+UNION ALL SELECT 'value', count(*) - count(value), count(*) FILTER (isnan(value)), count(*) FILTER (isinf(value)) FROM x"""
 )
 def missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.missing_report(D.table(spark, sf_dir, "events"), ["value", "user_id"])
+    odd = {0: "NaN", 1: "Infinity", 2: "-Infinity"}
+    x = F.when(F.col("event_id") % 10 == 3, F.lit(None)).otherwise(F.col("value"))
+    for k, v in odd.items():
+        x = F.when(F.col("event_id") % 10 == k, F.lit(v).cast("double")).otherwise(x)
+    return S.missing_report(D.table(spark, sf_dir, "events").select(x.alias("x"), "value"), ["x", "value"])
 
 
 @query("SELECT least(n_nationkey, n_regionkey) AS src, greatest(n_nationkey, n_regionkey) AS dst, max_by(n_name, n_nationkey) AS n_name FROM nation GROUP BY 1, 2")
@@ -529,65 +622,92 @@ def silhouette_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.silhouette(D.points(spark, sf_dir).withColumnRenamed("tag", "cluster")), "s")
 
 
-def _scaled_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scaled_users(spark: SparkSession, sf_dir: str, axes: int | None = 3) -> DataFrame:
+    """Scaled event counts of users, on ``axes`` axes, written once for the iterations that read them."""
     flow = D.user_flow(spark, sf_dir)
     spec = features.FeatureSpec((features.Block("scale", tuple(c for c in flow.columns if c != "row_id")),))
-    return features.build(flow, spec, "row_id")
+    points = features.build(flow, spec, "row_id")
+    return cut(features.pca(cut(points), axes) if axes else points)
 
 
 @query()
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.kmeans(features.pca(_scaled_users(spark, sf_dir), 5), 2)
+    return clustering.kmeans(_scaled_users(spark, sf_dir, 5), 2)
 
 
 @query()
 def gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.gmm(features.pca(_scaled_users(spark, sf_dir), 3), 2)
+    return clustering.gmm(_scaled_users(spark, sf_dir), 2)
+
+
+@query()
+def gmm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.gmm_search(_scaled_users(spark, sf_dir))
 
 
 @query()
 def elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.elbow(_scaled_users(spark, sf_dir), range(1, 5))
+    return clustering.elbow(_scaled_users(spark, sf_dir, None))
 
 
 @query()
 def fuzzy_cmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.fuzzy_cmeans(features.pca(_scaled_users(spark, sf_dir), 3), 2, iterations=10)[0].select("id", "cluster")
+    return clustering.fuzzy_cmeans(_scaled_users(spark, sf_dir), 2)[0].select("id", "cluster")
 
 
 @query()
 def gustafson_kessel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.gustafson_kessel(features.pca(_scaled_users(spark, sf_dir), 3), 2, iterations=5)[0]
+    return clustering.gustafson_kessel(_scaled_users(spark, sf_dir), 2)[0]
 
 
 @query()
 def spherical_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.spherical_gmm(features.pca(_scaled_users(spark, sf_dir), 3), 2, iterations=10)
+    return clustering.spherical_gmm(_scaled_users(spark, sf_dir), 2)
 
 
 @query()
 def kmedoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.kmedoids(_scaled_users(spark, sf_dir), 2, iterations=3)
+    return clustering.kmedoids(_scaled_users(spark, sf_dir, None), 2)
 
 
 @query()
 def mean_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.mean_shift(features.pca(_scaled_users(spark, sf_dir), 3), 2.0, iterations=10)
+    return clustering.mean_shift(_scaled_users(spark, sf_dir), 2.0)
 
 
 @query()
 def neural_gas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.neural_gas(features.pca(_scaled_users(spark, sf_dir), 3), nodes=10, epochs=5)
+    return clustering.neural_gas(_scaled_users(spark, sf_dir))
 
 
 @query()
 def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.agglomerative(features.pca(_scaled_users(spark, sf_dir), 3), 2, most=200)
+    return clustering.agglomerative(_scaled_users(spark, sf_dir), 2)
+
+
+GRID_POINTS = {"x0": "CASE WHEN o_orderkey % 60 = 0 THEN 9.0 ELSE 0.5 END", "x1": "3.2", "x2": "o_custkey % 9", "x3": "CASE WHEN o_orderkey % 70 = 1 THEN 9.0 ELSE 6.5 END"}
+
+
+@query(
+    f"""WITH p AS (SELECT o_orderkey AS id, {", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in GRID_POINTS.items())} FROM orders),
+r AS (SELECT min(least(x0, x1, x2, x3)) AS lo, max(greatest(x0, x1, x2, x3)) AS hi, count(*) AS n FROM p),
+long AS ({" UNION ALL ".join(f"SELECT id, 'Feature_{i}_' || {_bin(k)} AS item FROM p, r" for i, k in enumerate(GRID_POINTS))}),
+f AS (SELECT item, count(*) AS c FROM long GROUP BY item HAVING count(*) >= 0.98 * (SELECT n FROM r)),
+f2 AS (SELECT a.item AS a, b.item AS b, count(*) AS c FROM long a JOIN long b ON a.id = b.id AND a.item <> b.item GROUP BY 1, 2 HAVING count(*) >= 0.98 * (SELECT n FROM r)),
+rules AS (SELECT a, row_number() OVER (ORDER BY a, b) AS rule FROM f2 JOIN f ON f.item = f2.a WHERE f2.c / f.c >= 0.7),
+last AS (SELECT p.id, max(rule) AS rule FROM p LEFT JOIN (SELECT id, rule FROM long JOIN rules ON item = a) h ON h.id = p.id GROUP BY p.id),
+used AS (SELECT rule, row_number() OVER (ORDER BY rule) - 1 AS cluster, count(*) OVER () AS k FROM (SELECT DISTINCT rule FROM last WHERE rule IS NOT NULL))
+SELECT id, CAST(CASE WHEN k <= 2 THEN cluster ELSE -1 END AS INT) AS cluster FROM last LEFT JOIN used ON used.rule = last.rule"""
+)
+def pmafia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No three cells of these points are frequent together, so the SQL needs pairs only."""
+    vector = F.array(*[F.expr(v).cast("double") for v in GRID_POINTS.values()])
+    return grid.pmafia(D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), vector.alias("v")))
 
 
 @query()
 def fpmafia(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.fpmafia(_users(spark, sf_dir), 0.3, max_size=3)
+    return grid.fpmafia(_users(spark, sf_dir))
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------------

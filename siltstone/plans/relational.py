@@ -167,11 +167,12 @@ def longest_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), x AS (SELECT id, label, 1.0 / (1 + id % 7) AS w, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e)
-SELECT CAST(label AS BIGINT) AS tag, round(sum(w * x) / sum(w), 6) AS mean FROM x WHERE i = 1 GROUP BY label"""
+SELECT CAST(label AS BIGINT) AS tag, CAST(i - 1 AS INT) AS i, round(sum(w * x) / sum(w), 6) AS mean FROM x GROUP BY label, i"""
 )
 def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.lit(1.0) / (1 + F.col("id") % 7)
-    return D.points(spark, sf_dir).groupBy("tag").agg(F.round(F.sum(w * F.col("v")[0]) / F.sum(w), 6).alias("mean"))
+    cells = D.points(spark, sf_dir).select("tag", w.alias("w"), F.posexplode("v").alias("i", "x"))
+    return cells.groupBy("tag", "i").agg(F.round(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 6).alias("mean"))
 
 
 @query("SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5")
@@ -188,9 +189,10 @@ def top5_with_summary_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("k", F.round("c_acctbal", 6).alias("c_acctbal"))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT event_id FROM events LIMIT 300)) AS n")
-def random_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "events").orderBy(F.rand(42)).limit(300).agg(F.count(F.lit(1)).alias("n"))
+@query("SELECT event_id, user_id FROM events ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 300")
+def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """300 rows by the hash of their id: each task keeps its own least 300, so nothing is sorted as a whole."""
+    return D.table(spark, sf_dir, "events").orderBy(F.md5(F.col("event_id").cast("string").cast("binary")), "event_id").limit(300).select("event_id", "user_id")
 
 
 @query(
@@ -211,12 +213,12 @@ def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, CAST(100 + c_custkey % 40 AS BIGINT) AS b FROM customer WHERE c_custkey % 9 = 0), u AS (SELECT CAST(a AS BIGINT) AS a, b FROM e UNION SELECT b, a FROM e),
+    """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 25 AS a, 100 + c_custkey % 40 AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(id, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id) SELECT id AS node, min(root) AS root FROM r GROUP BY id"""
 )
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = D.table(spark, sf_dir, "customer").where("c_custkey % 9 = 0").select(F.col("c_nationkey").cast("long").alias("a"), (100 + F.col("c_custkey") % 40).alias("b"))
-    return components(edges)
+    """An edge per customer; the residues make five components."""
+    return components(D.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 25).alias("a"), (100 + F.col("c_custkey") % 40).alias("b")))
 
 
 # --- features and clusters without SQL --------------------------------------------------------------------------------
@@ -233,15 +235,24 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir, 5).select("id", *[F.round(F.col("v")[i], 6).alias(f"pc{i}") for i in range(5)])
 
 
-@query()
+_WEIGHTS = features.projection_weights(64)
+
+
+@query(
+    "WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT id, "
+    + ", ".join(f"round(greatest(0, list_dot_product(v, [{', '.join(map(repr, map(float, w)))}]::DOUBLE[])), 5) AS h{i}" for i, w in enumerate(_WEIGHTS))
+    + " FROM e"
+)
 def random_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.points(spark, sf_dir).select("id", F.array_join(F.transform(features.random_projection(F.col("v"), 64), lambda x: F.round(x, 6).cast("string")), ",").alias("code"))
+    rows = D.points(spark, sf_dir).select("id", features.random_projection(F.col("v"), 64).alias("h"))
+    return rows.select("id", *[F.round(F.col("h")[i], 5).alias(f"h{i}") for i in range(len(_WEIGHTS))])
 
 
 @query()
 def node_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = features.edges(D.table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", "n_nationkey", ["n_name"])
-    return features.node_embeddings(graph, size=16, length=5, walks=5).select("node", F.size("v").alias("size"))
+    found = features.node_embeddings(graph, size=16, length=10, walks=100)
+    return found.select("node", F.array_join(F.transform("v", lambda x: F.round(x, 6).cast("string")), ",").alias("vector"))
 
 
 @query()
@@ -265,7 +276,7 @@ def gmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cann_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.cann_centers(_points(spark, sf_dir), iterations=3)
+    return clustering.cann_centers(_points(spark, sf_dir))
 
 
 @query()
@@ -276,4 +287,4 @@ def attention_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def silhouette_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.silhouette_score(D.points(spark, sf_dir).withColumnRenamed("tag", "cluster"), sample=3000)
+    return evaluation.silhouette_score(D.points(spark, sf_dir).withColumnRenamed("tag", "cluster"), sample=300)

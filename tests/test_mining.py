@@ -116,7 +116,7 @@ def test_ties_keep_the_least_group(spark):
 def test_sweep_and_grid(matrix):
     counts = M.collect_counts(M.transactions(matrix, "row_id", COLUMNS), COLUMNS)
     assert len(G.thresholds()) == 18
-    swept = G.sweep(matrix, {t: M.all_stars(counts, t) for t in G.thresholds()})
+    swept = G.sweep(matrix, {t: [(g.group_id, list(g.items)) for g in M.related_groups(counts, t)] for t in G.thresholds()})
     assert swept.count() == 18 and G.best(swept).count() == 1
     scored = G.metrics(G.confusion(matrix, [(0, ["a"])]))
     assert G.confidence_grid(scored).count() == 2234
