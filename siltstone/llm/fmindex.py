@@ -2,7 +2,9 @@
 
 The index serves patterns of at most ``depth`` words. Suffixes are ordered by their first 64 (or more) words, which is all
 that backward search to that depth looks at. The wavelet matrix keeps one bit per word and level plus a 32-bit count per
-64 bits, a fifth of a byte per word and level.
+64 bits, a fifth of a byte per word and level. Which suffixes agree on ``depth`` words is kept as one bit a suffix with the
+same counts. Beside these the index holds the words of its patterns (4 bytes each) and a number per group of equal
+suffixes; the arrays that build it are gone once it stands.
 """
 
 from __future__ import annotations
@@ -12,30 +14,38 @@ from collections.abc import Iterator
 import numpy as np
 
 
+class Bits:
+    """Bits with ranks: ones(i) is how many are set before place i."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.packed = np.packbits(np.r_[bits.astype(np.uint8), np.zeros(64 - len(bits) % 64, np.uint8)], bitorder="little").view(np.uint64)
+        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.packed))].astype(np.uint32)[:-1]
+
+    def ones(self, i: np.ndarray) -> np.ndarray:
+        block = i >> 6
+        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[block].astype(np.int64) + np.bitwise_count(self.packed[block] & mask)
+
+
 class WaveletMatrix:
     """rank(c, i): how often c stands before place i, for many (c, i) at once."""
 
     def __init__(self, values: np.ndarray, sigma: int) -> None:
         self.n, self.levels = len(values), max(1, int(sigma - 1).bit_length())
-        self.bits, self.before, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         now = values.astype(np.uint32)
         for level in range(self.levels - 1, -1, -1):
-            bit = (now >> np.uint32(level)) & np.uint32(1)
-            packed = np.packbits(np.r_[bit.astype(np.uint8), np.zeros(64 - self.n % 64, np.uint8)], bitorder="little").view(np.uint64)
-            self.bits.append(packed)
-            self.before.append(np.r_[0, np.cumsum(np.bitwise_count(packed))].astype(np.uint32)[:-1])
-            one = bit.astype(bool)
+            one = ((now >> np.uint32(level)) & np.uint32(1)).astype(bool)
+            self.bits.append(Bits(one))
             self.zeros.append(self.n - int(one.sum()))
             now = np.concatenate([now[~one], now[one]])
         self.start = self._descend(np.arange(sigma), np.zeros(sigma, np.int64))
 
     def _descend(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k in range(self.levels):
-            block = i >> 6
-            mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.before[k][block] + np.bitwise_count(self.bits[k][block] & mask)
+            ones = self.bits[k].ones(i)
             bit = (c >> (self.levels - 1 - k)) & 1
-            i = np.where(bit == 1, self.zeros[k] + ones.astype(np.int64), i - ones)
+            i = np.where(bit == 1, self.zeros[k] + ones, i - ones)
         return i
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -53,7 +63,7 @@ class FMIndex:
         text = np.zeros(n, np.int64)  # a 0 closes each segment
         place = np.arange(len(words)) + np.repeat(np.arange(m), lengths)
         text[place] = ids + 1
-        self.text, self.first, self.lengths = text, ends - lengths - 1, lengths
+        self.text, self.first, self.lengths = text.astype(np.uint32), ends - lengths - 1, lengths
         rank, done, half, near = text, 1, 1, text
         while done < depth + 1:
             if done <= depth:
@@ -70,7 +80,7 @@ class FMIndex:
         del key, near
         self.run_start = np.flatnonzero(fresh)
         self.run_end = np.r_[self.run_start[1:], n]
-        self.run_of = np.cumsum(fresh) - 1
+        self.runs = Bits(fresh)
         segment = np.repeat(np.arange(m), lengths + 1)
         self.run_least = np.minimum.reduceat(owner[segment][order], self.run_start)
         self.bwt = WaveletMatrix(text[order - 1], self.sigma)
@@ -98,11 +108,11 @@ class FMIndex:
         for t in range(1, int(self.lengths.max(initial=0)) + 1):
             live = int(np.searchsorted(-self.lengths[by_length], -t, "right"))
             seg = by_length[:live]
-            c = self.text[self.first[seg] + self.lengths[seg] - t]
+            c = self.text[self.first[seg] + self.lengths[seg] - t].astype(np.int64)
             both = self.less[np.r_[c, c]] + self.bwt.rank(np.r_[c, c], np.r_[lo[:live], hi[:live]])
             lo[:live], hi[:live] = both[:live], both[live:]
             if t >= self.depth:
-                run = self.run_of[lo[:live]]
+                run = self.runs.ones(lo[:live] + 1) - 1
                 if t > self.depth:
                     lo[:live], hi[:live] = self.run_start[run], self.run_end[run]
                 yield seg, self.lengths[seg] - t, self.run_least[run]

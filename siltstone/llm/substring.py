@@ -3,10 +3,10 @@
 Route. Each window of 50 words is named by the least hash of its 12-word runs, so equal windows carry one name wherever they
 stand. Neighbouring windows of one name form a segment. Names seen in one document only are dropped; equal segments are
 counted once, under their least document, before anything is grouped, so a passage in a third of all documents is one row.
-The distinct segments go to shards by name. Each shard builds a compressed FM-index over its segments and streams them
-through backward search on the wavelet matrix; intervals of 50 words or more are reported with the least document in them.
-A copy of a segment whose least document is smaller loses all its windows; in the least document itself only the windows
-that the index finds in a still smaller one go.
+The distinct segments go to shards by name, at least two a shuffle partition. Each shard builds a compressed FM-index over its
+segments and streams them through backward search on the wavelet matrix: every window's interval gives the least document
+that it starts in. That answer alone decides: of each occurrence of a segment the windows go whose least document is
+smaller than the occurrence's. Segments are told apart by two 64-bit hashes.
 
 A name whose distinct segments exceed NAME_ROWS (a passage amid very many different contexts) is resolved window by window
 instead: its windows are named by their own hash and pass the same steps, so no shard grows with one name's group.
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
 from siltstone.llm.common import cut, release
+from siltstone.llm.common import width as width_of
 from siltstone.llm.fmindex import FMIndex
 
 GRAM = 12
 #: Distinct segments of a shard, about: 5,000 of them are some 0.3 million words and 50 MB while the index is built.
 SHARD_ROWS = 5_000
 #: Most distinct segments of one name that go to a shard under that name.
-NAME_ROWS = 4_000
+NAME_ROWS = 1_000
 
 
 def _segments(h: np.ndarray, doc: np.ndarray, window: int, gram: int, single: bool) -> tuple[np.ndarray, ...]:
@@ -45,8 +46,7 @@ def _segments(h: np.ndarray, doc: np.ndarray, window: int, gram: int, single: bo
     inside = doc[:n] == doc[window - 1 :]
     if single:
         at = np.flatnonzero(inside)
-        key = W.gram_hashes(h, window)[at]
-        return key, key, doc[at], at - first[doc[at]], np.ones(len(at), np.int64)
+        return W.gram_hashes(h, window)[at], W.gram_hashes(W.mix(h), window)[at], doc[at], at - first[doc[at]], np.ones(len(at), np.int64)
     name = W.sliding_min(W.gram_hashes(h, gram), window - gram + 1)
     fresh = np.r_[True, (name[1:] != name[:-1]) | (doc[1:n] != doc[: n - 1])] & inside
     at = np.flatnonzero(fresh)
@@ -119,11 +119,11 @@ def _texts(picked: DataFrame, classes: DataFrame, window: int, shards: int) -> D
                 )
 
     sliced = joined.mapInArrow(run, "h long, s long, doc long, words binary")
-    return sliced.select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), "s", "doc", "words")
+    return sliced.select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), "h", "s", "doc", "words")
 
 
 def _search(segments: DataFrame, window: int) -> DataFrame:
-    """(s, cuts): the windows of a segment that also start in a document smaller than its least one, as first and number."""
+    """(h, s, first, n, least): runs of a segment's windows whose intervals in the shard's index have the same least document."""
 
     def one(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches).combine_chunks()
@@ -133,20 +133,16 @@ def _search(segments: DataFrame, window: int) -> DataFrame:
         start, end, seg = W.spans(data, offsets - offsets[0])
         owner = rows.column("doc").to_numpy()
         index = FMIndex(W.word_hashes(data, start, end), np.bincount(seg, minlength=len(owner)), owner, window)
-        hit_seg, hit_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, at, least in index.windows():
-            lost = least < owner[s]
-            hit_seg.append(s[lost])
-            hit_at.append(at[lost])
-        s, at = np.concatenate(hit_seg), np.concatenate(hit_at)
+        parts = [(np.zeros(0, np.int64),) * 3, *index.windows()]
+        s, at, least = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((at, s))
-        s, at = s[order], at[order]
-        fresh = np.r_[True, (s[1:] != s[:-1]) | (at[1:] != at[:-1] + 1)][: len(s)]
+        s, at, least = s[order], at[order], least[order]
+        fresh = np.r_[True, (s[1:] != s[:-1]) | (least[1:] != least[:-1])][: len(s)]
         begin = np.flatnonzero(fresh)
         count = np.diff(np.r_[begin, len(s)])
-        names = rows.column("s").to_numpy()
+        name = lambda c: pa.array(rows.column(c).to_numpy()[s[begin]])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names[s[begin]]), pa.array(at[begin].astype(np.int32)), pa.array(count.astype(np.int32))], names=["s", "first", "n"]
+            [name("h"), name("s"), pa.array(at[begin].astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(least[begin])], names=["h", "s", "first", "n", "least"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +160,7 @@ def _search(segments: DataFrame, window: int) -> DataFrame:
             yield from one(held)
 
     dealt = segments.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "s long, first int, n int")
+    return dealt.mapInArrow(run, "h long, s long, first int, n int, least long")
 
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = GRAM) -> DataFrame:
@@ -187,14 +183,11 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         distinct = distinct.join(crowded, "h", "left_anti").unionByName(
             alone.groupBy("h", "s").agg(F.min(F.struct("doc", "th", "start", "size")).alias("r")).select("h", "s", "r.*")
         )
-    shards = max(1, distinct.count() // SHARD_ROWS + 1)
+    shards = max(2 * width_of(docs.sparkSession), distinct.count() // SHARD_ROWS + 1)
     once = picked.dropDuplicates(["doc", "th"])
-    lost = _search(_texts(once, distinct, window, shards), window)
-    # the least document of each segment loses what the index found, every larger one all of the segment
-    named = found.join(distinct.select("s", F.col("h"), F.col("doc").alias("least")), ["h", "s"])
-    whole = named.where("doc > least").select("doc", "th", "start", "size")
-    part = named.where("doc = least").join(lost, "s").select("doc", "th", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("size"))
-    return whole.unionByName(part).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("cuts"))
+    told = _search(_texts(once, distinct, window, shards), window)
+    lost = found.join(told, ["h", "s"]).where("least < doc").select("doc", "th", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("size"))
+    return lost.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("cuts"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = GRAM) -> DataFrame:
