@@ -6,11 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths of the tables that ``cut`` has written and nothing has released, oldest first.
+_LIVE: dict[str, None] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local one only where it is unset in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,15 +36,43 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back, which ends its lineage."""
     path = f"{scratch_dir(df.sparkSession)}/siltstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _LIVE[path] = None
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._siltstone_path = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    _LIVE.pop(path, None)
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a ``cut`` table that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._siltstone_path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _delete(df.sparkSession, df._siltstone_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end all tables cut within, except those passed to the function that it gives."""
+    before, kept = set(_LIVE), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._siltstone_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _LIVE if p not in before and p not in kept]:
+            _delete(spark, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all scratch tables of this session, once no result that reads them is wanted any more."""
+    for path in list(_LIVE):
+        _delete(spark, path)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -228,3 +228,17 @@ def test_registered_searches_go_up_to_ten(spark, monkeypatch):
     monkeypatch.setattr(clustering, "gmeans", lambda points, most_clusters=10: seen.append(most_clusters))
     relational.gmeans(spark, "")
     assert seen == [range(2, 11), 10]
+
+
+def test_scratch_tables_go_with_their_step(spark):
+    from pathlib import Path
+
+    from siltstone.operators.graph import cut, release_all, scratch
+
+    there = lambda df: Path(df._siltstone_path.removeprefix("file://")).exists()
+    outer = cut(spark.range(3))
+    with scratch(spark) as keep:
+        inner, kept = cut(spark.range(4)), keep(cut(spark.range(5)))
+    assert there(outer) and not there(inner) and kept.count() == 5
+    release_all(spark)
+    assert not there(outer) and not there(kept)
