@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.operators.blocks import by_key
-from siltstone.operators.graph import components, cut, release, scratch_dir
+from siltstone.operators.graph import components, cut, release, scratch, scratch_dir
 
-__all__ = ["by_key", "components", "cut", "release", "scratch_dir", "table", "width"]
+__all__ = ["by_key", "components", "cut", "release", "scratch", "scratch_dir", "table", "width"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import by_key, components, cut
+from siltstone.llm.common import by_key, components, cut, scratch
 from siltstone.llm.simhash import Forest
 
 SAMPLE, LEAST_SAMPLE = 20_000, 200
@@ -121,7 +121,12 @@ def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, recall: float = 0.99) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+    """(vec_id, n_links, component_id, kept) of every row; the result is written, all else is released."""
+    with scratch(vectors.sparkSession) as keep:
+        return keep(cut(_near_duplicates(vectors, id_col, vector_col, cosine, recall)))
+
+
+def _near_duplicates(vectors: DataFrame, id_col: str, vector_col: str, cosine: float, recall: float) -> DataFrame:
     e = F.col("e")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e"))
     sound = F.coalesce(

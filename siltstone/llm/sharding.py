@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut
+from siltstone.llm.common import cut, scratch
 
 SLOTS = 4096
 
@@ -147,8 +147,14 @@ def shard(
 ) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot, map_version, shard, place): ``docs`` in shards of near equal bytes.
 
-    before: the map to edit (a fresh one by default). store: a folder that gets the map's versions as Parquet.
+    before: the map to edit (a fresh one by default). store: a folder that gets the map's versions as Parquet. The result is
+    written, all else is released.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(cut(_shard(docs, shards, id_col, text_col, slots, before, store)))
+
+
+def _shard(docs: DataFrame, shards: int, id_col: str, text_col: str, slots: int, before: SlotMap | None, store: str | None) -> DataFrame:
     spark = docs.sparkSession
     rows = slotted(docs, shards, id_col, text_col, slots)
     per = {r["virtual_slot"]: r for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}

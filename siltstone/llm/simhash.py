@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from siltstone.llm import words as W
-from siltstone.llm.common import by_key, components, cut, release
+from siltstone.llm.common import by_key, components, cut, scratch
 from siltstone.llm.common import width as width_of
 
 SEED = 42
@@ -217,8 +217,9 @@ def groups(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) of every row of ``docs``; fingerprint is 16 lowercase hex digits."""
-    found = groups(cut(fingerprints(docs, id_col, text_col, width)), radius)
+    """(doc_id, fp, fingerprint, component_id) of every row of ``docs``; fingerprint is 16 lowercase hex digits. The result is written, all else is released."""
+    with scratch(docs.sparkSession) as keep:
+        found = keep(cut(groups(cut(fingerprints(docs, id_col, text_col, width)), radius)))
     return found.select(F.col("id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -428,6 +429,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     whole sets. The row of least id stays (a row without one only if its group has no id), then that of least text hash,
     then any one of equal rows. Texts without words are one group.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(cut(_keep_one(docs, id_col, text_col, width, similarity)))
+
+
+def _keep_one(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     row = cut(_marked(docs, text_col, width).withColumn("_sim_row", F.monotonically_increasing_id()))
     classes = cut(row.groupBy(*_CLASS).agg(F.max("_sim_n").alias("_sim_n")).withColumn("k", F.monotonically_increasing_id()))
     found = wide_links(classes.where("_sim_n > 0"))
@@ -439,9 +445,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     narrow = row.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("_sim_row").alias("row"), *_CLASS)
     least = narrow.join(named, _CLASS).groupBy("g").agg(F.min(F.struct("none", "id", "h", "row")).alias("r"))
     kept = cut(least.select(F.col("r.row").alias("_sim_row")))
-    release(classes)
-    release(texts)
-    out = cut(row.join(kept, "_sim_row", "left_semi").select(*docs.columns))
-    release(row)
-    release(kept)
-    return out
+    return row.join(kept, "_sim_row", "left_semi").select(*docs.columns)

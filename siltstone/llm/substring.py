@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
-from siltstone.llm.common import cut, release
+from siltstone.llm.common import cut, release, scratch
 from siltstone.llm.common import width as width_of
 from siltstone.llm.fmindex import FMIndex
 
@@ -164,7 +164,15 @@ def _search(segments: DataFrame, window: int) -> DataFrame:
 
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = GRAM) -> DataFrame:
-    """(doc, th, cuts): for each text that loses words its windows to remove, as array of (start, size); th is the text's hash."""
+    """(doc, th, cuts): for each text that loses words its windows to remove, as array of (start, size); th is the text's hash.
+
+    The result is written, all else is released.
+    """
+    with scratch(docs.sparkSession) as keep:
+        return keep(cut(_covered(docs, id_col, text_col, window, gram)))
+
+
+def _covered(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
     picked = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")
     )

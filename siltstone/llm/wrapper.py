@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from siltstone.llm.common import cut
+from siltstone.llm.common import cut, scratch
 
 BROADCAST_BYTES = 8 << 20
 #: Reference pages a host at most.
@@ -532,8 +532,13 @@ def _host(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, refs): each host's references as array of (skeleton, counts), counts being (node, seen, same, free) over its distinct pages."""
+    with scratch(pages.sparkSession) as keep:
+        return keep(cut(_wrappers(pages, url_col, html_col)))
+
+
+def _wrappers(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     rows = pages.where(F.col(html_col).isNotNull()).select(_host(url_col).alias("host"), F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
     shown = rows.where(F.col("html").rlike(r"(?s)(?:\A|>)[^<]*[^<\s]"))
     first = shown.groupBy("host", F.pmod("h", F.lit(REFERENCES)).alias("c")).agg(F.min(F.struct("h", "html")).alias("r")).select("host", "r.h", "r.html")
@@ -565,7 +570,7 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     tally = facts.select("host", "ref", F.inline("told")).groupBy("host", "ref", "node").agg(F.count(F.lit(1)).alias("seen"), F.sum("same").alias("same"), F.sum("free").alias("free"))
     counts = tally.groupBy("host", F.col("ref").alias("h")).agg(F.sort_array(F.collect_list(F.struct("node", "seen", "same", "free"))).alias("counts"))  # a reference's nodes
     known = frames.join(counts, ["host", "h"], "left").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("h", "skeleton", "counts"))).alias("refs"))
-    return cut(known)
+    return known
 
 
 def _length(refs: str) -> Column:
@@ -588,7 +593,7 @@ def _with(pages: DataFrame, frames: DataFrame, length: Column) -> DataFrame:
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
-    frames = wrappers(pages, id_col, url_col, html_col)
+    frames = wrappers(pages, url_col, html_col)
     rows = pages.select(_host(url_col).alias("host"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
