@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import packing, quality, simhash, substring
-from siltstone.llm.common import cut, table
+from siltstone.llm.common import cut, release, scratch, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage leaves behind goes once the next one has read it."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            kept = keep(cut(stage(spark, docs, sf_dir)))
+        if hasattr(docs, "_siltstone_path"):
+            release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
