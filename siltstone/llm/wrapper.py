@@ -39,6 +39,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -219,7 +220,7 @@ def _leaf(node: Node) -> bool:
 
 
 def skeleton(root: Node) -> str:
-    """A tree without its texts, node by node in page order."""
+    """A tree without its texts: its paths of tags, and its nodes in page order."""
     depth = {id(root): 0}
     rows = []
     for node in walk(root):
@@ -227,12 +228,12 @@ def skeleton(root: Node) -> str:
         for kid in node.kids:
             depth[id(kid)] = d + 1
         rows.append([d, node.tag, node.hash, node.length, node.linked, node.drop, int(node.head)])
-    return json.dumps(rows, separators=(",", ":"))
+    return json.dumps([sorted(_paths(root)), json.dumps(rows, separators=(",", ":"))], separators=(",", ":"))
 
 
 def unpack(packed: str) -> Node:
     path: list[Node] = []
-    for i, (depth, tag, digest, length, linked, drop, head) in enumerate(json.loads(packed)):
+    for i, (depth, tag, digest, length, linked, drop, head) in enumerate(json.loads(json.loads(packed)[1])):
         node = Node(tag, drop, bool(head))
         node.hash, node.length, node.linked, node.number = digest, length, linked, i
         del path[depth:]
@@ -305,24 +306,40 @@ def _chosen(x: list[Node], y: list[Node], known: dict) -> list[tuple[Node, Node]
             best = int((_last_row(x[:half], y, known) + _last_row(x[half:][::-1], y[::-1], known)[::-1]).argmax())
             todo += [(x[:half], y[:best]), (x[half:], y[best:])]
             continue
-        rows = np.zeros((n + 1, m + 1), np.int64)
-        for i, w in enumerate(_weights(x, y, known)):
-            rows[i + 1, 1:] = np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + w))
-        rows, i, j = rows.tolist(), n, m
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                out.append((x[i], y[j]))
+        out += _traced(x, y, _table(x, y, known))
+    return out
+
+
+def _table(x: list[Node], y: list[Node], known: dict) -> np.ndarray:
+    """Greatest totals of the first nodes of x with the first nodes of y."""
+    rows = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+    for i, w in enumerate(_weights(x, y, known)):
+        np.maximum(rows[i, 1:], rows[i, :-1] + w, out=rows[i + 1, 1:])
+        np.maximum.accumulate(rows[i + 1, 1:], out=rows[i + 1, 1:])
+    return rows
+
+
+def _traced(x: list[Node], y: list[Node], table: np.ndarray) -> list[tuple[Node, Node]]:
+    rows, i, j, out = table.tolist(), len(x), len(y), []
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((x[i], y[j]))
     return out
 
 
-def _weigh(a: Node, b: Node) -> dict[tuple[int, int], int]:
-    """Sizes of the greatest matches of all pairs of inner nodes that an alignment of a and b may ask for, from the leaves up."""
+def _weigh(a: Node, b: Node) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], np.ndarray]]:
+    """Sizes of the greatest matches of all pairs of inner nodes that an alignment of a and b may ask for, from the leaves up.
+
+    Their tables are kept up to CELLS cells; a pair without one is aligned anew if the alignment takes it.
+    """
     known: dict[tuple[int, int], int] = {}
+    tables: dict[tuple[int, int], np.ndarray] = {}
+    left = CELLS
     stack = [(a, b)]
     while stack:
         p, q = stack[-1]
@@ -334,8 +351,14 @@ def _weigh(a: Node, b: Node) -> dict[tuple[int, int], int]:
             stack += need
             continue
         stack.pop()
-        known[id(p), id(q)] = 1 + (int(_last_row(p.kids, q.kids, known)[-1]) if p.kids and q.kids else 0)
-    return known
+        cells = len(p.kids) * len(q.kids)
+        if 0 < cells <= left:
+            left -= cells
+            tables[id(p), id(q)] = _table(p.kids, q.kids, known)
+            known[id(p), id(q)] = 1 + int(tables[id(p), id(q)][-1, -1])
+        else:
+            known[id(p), id(q)] = 1 + (int(_last_row(p.kids, q.kids, known)[-1]) if cells else 0)
+    return known, tables
 
 
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
@@ -345,13 +368,14 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
         return sum(1 + _leaf(p) for p, _ in pairs), pairs
     if not a.kids or not b.kids:
         return (2 if _leaf(a) and _leaf(b) and a.hash == b.hash else 1), [(a, b)]
-    known = _weigh(a, b)
+    known, tables = _weigh(a, b)
     pairs, todo = [], [(a, b)]
     while todo:
         p, q = todo.pop()
         pairs.append((p, q))
         if p.kids and q.kids:
-            todo += _chosen(p.kids, q.kids, known)
+            table = tables.get((id(p), id(q)))
+            todo += _chosen(p.kids, q.kids, known) if table is None else _traced(p.kids, q.kids, table)
     return known[id(a), id(b)], pairs
 
 
@@ -368,25 +392,38 @@ def _paths(root: Node) -> frozenset[str]:
 
 
 class Reference:
-    """A reference page and what all pages tell about its nodes."""
+    """A reference page and what all pages tell about its nodes. Its tree is built when it is first asked for."""
 
     def __init__(self, packed: str, counts: list | None = None) -> None:
-        self.root = unpack(packed)
-        self.paths = _paths(self.root)
-        self.nodes = list(walk(self.root))
-        self.template: frozenset[int] = frozenset()
-        self.region: Node | None = None
-        pages = 0
-        for row in counts or ():
+        self.paths = frozenset(json.loads(packed)[0])
+        self._packed, self._counts = packed, counts
+
+    @cached_property
+    def root(self) -> Node:
+        return unpack(self._packed)
+
+    @cached_property
+    def _pages(self) -> int:
+        """Pages that gave evidence; their counts are written to the nodes."""
+        nodes, pages = list(walk(self.root)), 0
+        for row in self._counts or ():
             if row["node"] < 0:
                 pages = row["seen"]
             else:
-                node = self.nodes[row["node"]]
+                node = nodes[row["node"]]
                 node.seen, node.same, node.free = row["seen"], row["same"], row["free"]
-        if pages + 1 >= SUPPORT:
-            # the reference agrees with itself
-            self.template = frozenset(n.number for n in self.nodes if _leaf(n) and n.same + 1 >= max(SUPPORT, SHARE * (pages + 1)))
-            self.region = self._region()
+        return pages
+
+    @cached_property
+    def template(self) -> frozenset[int]:
+        """Numbers of the constant leaves; the reference agrees with itself."""
+        least = max(SUPPORT, SHARE * (self._pages + 1))
+        return frozenset(n.number for n in walk(self.root) if _leaf(n) and n.same + 1 >= least)
+
+    @cached_property
+    def region(self) -> Node | None:
+        """The element of the content, None without enough pages."""
+        return self._region() if self._pages + 1 >= SUPPORT else None
 
     def _region(self) -> Node | None:
         if not self.root.free:
@@ -533,7 +570,7 @@ def _host(url: str) -> Column:
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, refs): each host's references as array of (skeleton, counts), counts being (node, seen, same, free) over its distinct pages."""
+    """(host, refs): each host's references as a JSON list of (h, skeleton, counts), counts being (node, seen, same, free) over its distinct pages."""
     with scratch(pages.sparkSession) as keep:
         return keep(cut(_wrappers(pages, url_col, html_col)))
 
@@ -549,45 +586,42 @@ def _wrappers(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.string())], names=["host", "h", "skeleton"])
 
     frames = cut(first.mapInArrow(bones, "host string, h long, skeleton string"))
-    listed = frames.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("h", "skeleton"))).alias("refs"))  # REFERENCES a host
+    listed = frames.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.struct("h", "skeleton")))).alias("refs"))  # REFERENCES a host
     kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.int32()), ("free", pa.int64())]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Reference] = {}
+        known: dict[str, list[tuple[int, Reference]]] = {}
         for batch in batches:
             own, told = [], []
             for h, source, refs in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                page, found = parse(source), [(r["h"], _kept(known, r["skeleton"], None)) for r in refs or ()]
+                page, found = parse(source), _kept(known, refs)
                 best = nearest(page, [f for _, f in found]) if found else None
                 name = next((k for k, f in found if f is best), None)
                 own.append(name)
                 told.append([{"node": a, "same": b, "free": c} for a, b, c in evidence(page, best)] if best is not None and name != h else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64()), pa.array(told, kind)], names=["host", "h", "ref", "told"])
 
-    seen = _with(rows, listed, _length("refs")).select("host", "h", "html", "refs")
+    seen = _with(rows, listed).select("host", "h", "html", "refs")
     facts = seen.mapInArrow(count, "host string, h long, ref long, told array<struct<node: int, same: int, free: long>>")
     facts = facts.groupBy("host", "h", "ref").agg(F.first("told").alias("told"))
     tally = facts.select("host", "ref", F.inline("told")).groupBy("host", "ref", "node").agg(F.count(F.lit(1)).alias("seen"), F.sum("same").alias("same"), F.sum("free").alias("free"))
     counts = tally.groupBy("host", F.col("ref").alias("h")).agg(F.sort_array(F.collect_list(F.struct("node", "seen", "same", "free"))).alias("counts"))  # a reference's nodes
-    known = frames.join(counts, ["host", "h"], "left").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("h", "skeleton", "counts"))).alias("refs"))
-    return known
-
+    return frames.join(counts, ["host", "h"], "left").groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("h", "skeleton", "counts")))).alias("refs"))
 
-def _length(refs: str) -> Column:
-    return F.aggregate(refs, F.lit(0).cast("long"), lambda s, r: s + F.length(r["skeleton"]))
 
-
-def _kept(known: dict[str, Reference], packed: str, counts: list | None) -> Reference:
-    if packed not in known:
+def _kept(known: dict[str, list[tuple[int, Reference]]], refs: str | None) -> list[tuple[int, Reference]]:
+    if refs is None:
+        return []
+    if refs not in known:
         if len(known) > 2000:
             known.clear()
-        known[packed] = Reference(packed, counts)
-    return known[packed]
+        known[refs] = [(r["h"], Reference(r["skeleton"], r.get("counts"))) for r in json.loads(refs)]
+    return known[refs]
 
 
-def _with(pages: DataFrame, frames: DataFrame, length: Column) -> DataFrame:
+def _with(pages: DataFrame, frames: DataFrame) -> DataFrame:
     """Each page with its host's references: broadcast only under a checked size."""
-    size = frames.agg(F.sum(length + F.length("host") + 16)).first()[0] or 0
+    size = frames.agg(F.sum(F.length("refs") + F.length("host") + 16)).first()[0] or 0
     return pages.join(F.broadcast(frames) if size <= BROADCAST_BYTES else frames, "host", "left")
 
 
@@ -597,7 +631,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(_host(url_col).alias("host"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Reference] = {}
+        known: dict[str, list[tuple[int, Reference]]] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -606,9 +640,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     if not source:
                         texts.append("")
                         continue
-                    page, found = parse(source), [_kept(known, r["skeleton"], r["counts"]) for r in refs or ()]
+                    page, found = parse(source), [f for _, f in _kept(known, refs)]
                     texts.append(content(page, nearest(page, found) if found else None))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    length = _length("refs") + F.aggregate("refs", F.lit(0).cast("long"), lambda s, r: s + 24 * F.greatest(F.size(r["counts"]), F.lit(0)))
-    return _with(rows, frames, length).select("page_id", "url", "html", "refs").mapInArrow(run, "page_id long, url string, text string")
+    return _with(rows, frames).select("page_id", "url", "html", "refs").mapInArrow(run, "page_id long, url string, text string")
