@@ -264,17 +264,21 @@ def kmedoids(points: DataFrame, k: int = 2, metric: str = "euclidean", iteration
     return labelled.select("id", F.col("tag").cast("int").alias("cluster"))
 
 
-def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5) -> DataFrame:
-    """(id, cluster, core): noise is -1; clusters are numbered by their least core id; a border point takes the least cluster in reach."""
+def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5, block: int | None = None, cells: int | None = None) -> DataFrame:
+    """(id, cluster, core): noise is -1; clusters are numbered by their least core id; a border point takes the least cluster in reach.
+
+    Points meet only blocks within ``eps`` (``blocks``); block and cells change the work, not the result.
+    """
     rows = points.select("id", F.col("v").cast("array<double>").alias("v"), F.lit(0).cast("long").alias("tag"))
-    counts = cut(blocks.within(rows, eps))
+    at = blocks.index(rows, cells=cells, block=block)
+    counts = cut(blocks.within(rows, eps, at=at))
     core = counts.where(F.col("n") >= min_points).select("id")
-    dense = rows.join(core, "id", "left_semi")
-    roots = components(blocks.forest(dense, eps)).select(F.col("node").alias("id"), "root")
+    dense = at.rows.join(core, "id", "left_semi")
+    roots = components(blocks.forest(dense, eps, at=at.over(dense))).select(F.col("node").alias("id"), "root")
     named = cut(core.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     numbers = named.groupBy("root").agg(F.count(F.lit(1)).alias("_")).select("root", (F.row_number().over(Window.orderBy("root")) - 1).alias("cluster"))  # a row a cluster
     named = cut(named.join(numbers, "root").select("id", F.col("cluster").cast("long").alias("cluster")))
-    tagged = dense.join(named, "id").select("id", "v", F.col("cluster").alias("tag"))
+    tagged = dense.join(named, "id").select("id", "v", "cell", F.col("cluster").alias("tag"))
     rest = rows.join(core, "id", "left_anti")
 
     def reach(q: pa.Table, b: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -283,7 +287,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5) -> DataFram
         some = tags < np.iinfo(np.int64).max
         yield pa.RecordBatch.from_arrays([pa.array(q.column("id").to_numpy()[some]), pa.array(tags[some])], names=["id", "cluster"])
 
-    border = blocks.blocked(rest, tagged, reach, "id long, cluster long").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    border = blocks.blocked(rest, at.over(tagged), reach, "id long, cluster long", F.lit(eps)).groupBy("id").agg(F.min("cluster").alias("cluster"))
     found = named.select("id", "cluster", F.lit(True).alias("core")).unionByName(border.select("id", "cluster", F.lit(False).alias("core")))
     return rows.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
 

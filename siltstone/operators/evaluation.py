@@ -114,7 +114,7 @@ def mutual_information(table: DataFrame) -> DataFrame:
     return one.select(F.when(mean <= 1e-15, 1.0).otherwise(F.col("mi") / mean).alias("normalized_mutual_information"))
 
 
-def silhouette(points: DataFrame, sample: int | None = None, seed: int = 42, block: int = blocks.BLOCK) -> DataFrame:
+def silhouette(points: DataFrame, sample: int | None = None, seed: int = 42, block: int | None = None) -> DataFrame:
     """(id, cluster, s) of points (id, v, cluster): Euclidean, exact over all points, in blocks; a lone point has 0.
 
     sample: take the mean over so many random points, measured among themselves, as the sampled metric does.

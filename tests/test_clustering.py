@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.operators import blocks, clustering, evaluation, features, grid
 from siltstone.operators.graph import components
@@ -98,6 +99,40 @@ def test_blocks_do_not_change_results(points):
     assert sorted(map(tuple, blocks.within(points, 1.0, 17).collect())) == sorted(map(tuple, blocks.within(points, 1.0).collect()))
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_cells_leave_out_blocks_but_no_neighbour(spark, metric):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.3, (90, 3)) for c in ((0, 0, 0), (20, 0, 0), (0, 20, 0), (500, 500, 500))])
+    x = np.vstack([x, np.repeat(x[:1], 140, 0)])  # one hot vector
+    points = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, v array<double>, tag long").repartition(3).cache()
+    d = np.abs(x[:, None] - x).sum(2) if metric == "manhattan" else np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    order = np.lexsort((np.tile(np.arange(len(x)), (len(x), 1)), np.round(d, 9)))[:, :6]
+    got = {}
+    for r in blocks.nearest(points, points, 6, metric, block=20, cells=13).collect():
+        got.setdefault(r.id, {})[r["rank"]] = r.neighbour
+    assert got == {i: {j + 1: int(n) for j, n in enumerate(row)} for i, row in enumerate(order)}
+    at = blocks.index(points, metric, block=20, cells=13)
+    assert at.blocks.sum() >= len(x) // 20
+    seen = blocks.blocked(points, at, lambda q, b: iter([q.select(["id"]).combine_chunks().to_batches()[0]]), "id long", F.lit(0.5)).count()
+    assert seen < len(x) * at.blocks.sum() / 2  # queries far from a block never meet it
+    assert sorted(map(tuple, blocks.within(points, 0.5, at=at).collect())) == [(i, int(n)) for i, n in enumerate((d <= 0.5).sum(1))] if metric == "euclidean" else True
+
+
+def test_dbscan_over_cells(spark):
+    x, _ = blobs(5, 80, ((0, 0), (5, 5), (40, 0)))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").cache()
+    want = sorted(map(tuple, clustering.dbscan(points, 0.5, 4).collect()))
+    assert want == sorted(map(tuple, clustering.dbscan(points, 0.5, 4, block=16, cells=11).collect()))
+    assert len({r[1] for r in want}) > 3
+
+
+def test_blocks_over_no_rows(spark):
+    none = spark.createDataFrame([], "id long, v array<double>, tag long")
+    some = spark.createDataFrame([(1, [0.0], 0)], "id long, v array<double>, tag long")
+    assert blocks.nearest(some, none, 2).count() == 0 and blocks.nearest(none, some, 2).count() == 0
+    assert clustering.dbscan(none).count() == 0
+
+
 def test_votes(points):
     assert agrees(points, clustering.knn_vote(points, points, 3).withColumnRenamed("prediction", "cluster"))
     first = {r.id: r.prediction for r in clustering.least_neighbour(points, points, 5).collect()}
