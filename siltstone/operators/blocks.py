@@ -85,7 +85,7 @@ def index(base: DataFrame, metric: str = "euclidean", block: int | None = None,
     n = base.count()
     rows = base.select("id", F.col("v").cast("array<double>").alias("v"), F.col("tag").cast("long").alias("tag"))
     width = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    block = block or min(BLOCK, max(256, -(-n // (2 * width))))
+    block = block or min(BLOCK, max(CHUNK, -(-n // (2 * width))))
     cells = cells or (min(CELLS, -(-n // block)) if n > 4 * BLOCK else 1)
     pivots = [r["v"] for r in rows.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(cells).collect()] if cells > 1 else []
     if len(pivots) < 2:
