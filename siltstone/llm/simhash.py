@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from siltstone.llm import words as W
-from siltstone.llm.common import by_key, components, cut, scratch
+from siltstone.llm.common import by_key, components, cut, possible, scratch
 from siltstone.llm.common import width as width_of
 
 SEED = 42
@@ -285,25 +285,35 @@ _WIDE = [f"_sim_f{w}" for w in range(WORDS)]
 _CLASS = ["_sim_set", *_WIDE]
 
 
-def _marked(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """``docs`` with the name and size of the row's shingle set and the set's wide fingerprint."""
-    place = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields])
+#: What tells rows apart: the hash of the text, and that of id and text.
+_KEY = ["_sim_text", "_sim_both"]
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ident = F.col(id_col)
+    return docs.withColumns({"_sim_text": F.xxhash64(text_col), "_sim_both": F.xxhash64(ident.isNull(), ident, F.col(text_col))})
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Key and id of each row, the name and size of its shingle set and the set's wide fingerprint."""
+    picked = _keyed(docs, id_col, text_col).select(*_KEY, F.col(id_col).alias("_sim_id"), F.col(text_col).alias("text"))
+    own = picked.columns[:-1]
+    schema = StructType([picked.schema[c] for c in own])
     for name in (*_CLASS, "_sim_n"):
         schema = schema.add(name, LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, sizes, wide = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, WORDS), np.uint64)]
-            for value, at in _parts(batch.column(place), width):
+            for value, at in _parts(batch.column(len(own)), width):
                 names.append(_set_names(value, at))
                 sizes.append(np.diff(at))
                 wide.append(set_fingerprints(value, at, WORDS))
             f = np.concatenate(wide).view(np.int64)
             columns = [np.concatenate(names).view(np.int64), *(f[:, w].copy() for w in range(WORDS)), np.concatenate(sizes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns)], names=[*batch.schema.names, *_CLASS, "_sim_n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, columns)], names=[*own, *_CLASS, "_sim_n"])
 
-    return docs.mapInArrow(run, schema)
+    return picked.mapInArrow(run, schema)
 
 
 def wide_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -427,22 +437,33 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Candidates are the pairs of distinct sets whose wide fingerprints differ in at most RADIUS bits; each is verified on the
     whole sets. The row of least id stays (a row without one only if its group has no id), then that of least text hash,
-    then any one of equal rows. Texts without words are one group.
+    then any one of equal rows. Texts without words are one group. Only keys are written; the rows are read again from ``docs``.
     """
     with scratch(docs.sparkSession) as keep:
-        return keep(cut(_keep_one(docs, id_col, text_col, width, similarity)))
-
-
-def _keep_one(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    row = cut(_marked(docs, text_col, width).withColumn("_sim_row", F.monotonically_increasing_id()))
-    classes = cut(row.groupBy(*_CLASS).agg(F.max("_sim_n").alias("_sim_n")).withColumn("k", F.monotonically_increasing_id()))
+        kept, gone, twice = (keep(x) for x in _decided(docs, id_col, text_col, width, similarity))
+    # A row that is not gone is kept. Only what all filters let pass, and rows that repeat, are sent to the exact join.
+    told = _keyed(docs, id_col, text_col)
+    for name, keys in (("_sim_kept", kept), ("_sim_gone", gone), ("_sim_twice", twice)):
+        told = possible(told, keys, name)
+    unsure = told.where("_sim_kept and (_sim_gone or _sim_twice)").join(kept, _KEY, "left_semi").dropDuplicates(_KEY)
+    return told.where("not _sim_gone and not _sim_twice").unionByName(unsure).select(*docs.columns)
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> Iterator[DataFrame]:
+    """Keys of the rows that stay, of those that go, and of those that several rows share."""
+    row = cut(_marked(docs, id_col, text_col, width))
+    classes = row.groupBy(*_CLASS).agg(F.max("_sim_n").alias("_sim_n"), F.min(F.struct(*_KEY)).alias("r")).select(*_CLASS, "_sim_n", "r.*")
+    classes = cut(classes.withColumn("k", F.monotonically_increasing_id()))
     found = wide_links(classes.where("_sim_n > 0"))
     near = components(found).select(F.col("node").alias("k"), F.col("root").alias("g"))
-    words = row.select(*_CLASS, F.col(text_col).alias("text"))
-    texts = cut(words.join(classes.join(near, "k"), _CLASS).groupBy("g", "k").agg(F.first("text").alias("text")))
+    # one text a class; only rows that may be among them are sent
+    one = cut(classes.join(near, "k").select(*_KEY, "g", "k"))
+    words = possible(_keyed(docs, id_col, text_col).select(*_KEY, F.col(text_col).alias("text")), one.select(*_KEY), "_sim_hit")
+    texts = cut(words.where("_sim_hit").drop("_sim_hit").dropDuplicates(_KEY).join(one, _KEY).select("g", "k", "text"))
     roots = components(verified_links(texts, width, similarity))
     named = classes.join(roots, F.col("k") == F.col("node"), "left").select(*_CLASS, F.coalesce("root", "k").alias("g"))
-    narrow = row.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("_sim_row").alias("row"), *_CLASS)
-    least = narrow.join(named, _CLASS).groupBy("g").agg(F.min(F.struct("none", "id", "h", "row")).alias("r"))
-    kept = cut(least.select(F.col("r.row").alias("_sim_row")))
-    return row.join(kept, "_sim_row", "left_semi").select(*docs.columns)
+    rank = F.struct(F.col("_sim_id").isNull().alias("none"), "_sim_id", *_KEY)
+    kept = cut(row.join(named, _CLASS).groupBy("g").agg(F.min(rank).alias("r")).select("r._sim_text", "r._sim_both"))
+    yield kept
+    yield cut(row.select(*_KEY).join(kept, _KEY, "left_anti"))
+    yield cut(row.groupBy(*_KEY).count().where("count > 1").select(*_KEY))

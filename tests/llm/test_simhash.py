@@ -5,7 +5,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from siltstone.llm import simhash
+from siltstone.llm import common, simhash
+from tests.llm.shuffled import shuffled_bytes
 
 
 def brute_fp(text):
@@ -129,6 +130,22 @@ def test_groups_of_a_likeness_against_brute_force(spark, monkeypatch):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_rows_that_are_surely_kept_or_gone_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(60):x}" for _ in range(700)) for _ in range(200)]
+    rows = [*enumerate(texts), *((1000 + i, t) for i, t in enumerate(texts[:20]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    with shuffled_bytes(spark) as sent:
+        kept = simhash.keep_one(df)
+        kept.write.format("noop").mode("overwrite").save()
+    assert sent[0] < sum(len(t) for _, t in rows) / 4
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
+    # a full filter sends all rows to the exact join
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(200))
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(near_copies(3), "doc_id long, text string")).collect()) == brute_kept(near_copies(3))
+
+
 def test_keep_one_tells_rows_of_one_id_by_their_text(spark):
     a, b = "a b c d e f g h", "totally different words that stand here instead"
     rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (None, b, "n"), (None, "only here", "o"), (3, "twice", "t"), (3, "twice", "t")]
