@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
-from siltstone.llm.common import cut, release, scratch
+from siltstone.llm.common import FILTER_WORDS, cut, marks, possible, release, scratch
 from siltstone.llm.common import width as width_of
 from siltstone.llm.fmindex import FMIndex
 
@@ -36,18 +36,22 @@ SHARD_ROWS = 5_000
 NAME_ROWS = 1_000
 
 
-def _segments(h: np.ndarray, doc: np.ndarray, window: int, gram: int, single: bool) -> tuple[np.ndarray, ...]:
-    """(name, hash, document, first word within it, windows) of the segments of a slice."""
+def _segments(h: np.ndarray, doc: np.ndarray, window: int, gram: int, only: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(name, hash, document, first word within it, windows) of the segments of a slice.
+
+    only: bits of names; then every window of such a name by itself, under its own hash, and last the name.
+    """
     first = np.searchsorted(doc, np.arange(doc[-1] + 1)) if len(doc) else np.zeros(0, np.int64)
     n = len(h) - window + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z, z
+        return z.astype(np.uint64), z.astype(np.uint64), z, z, z, z.astype(np.uint64)
     inside = doc[:n] == doc[window - 1 :]
-    if single:
-        at = np.flatnonzero(inside)
-        return W.gram_hashes(h, window)[at], W.gram_hashes(W.mix(h), window)[at], doc[at], at - first[doc[at]], np.ones(len(at), np.int64)
     name = W.sliding_min(W.gram_hashes(h, gram), window - gram + 1)
+    if only is not None:
+        slot = name % np.uint64(64 * len(only))
+        at = np.flatnonzero(inside & ((only[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool))
+        return W.gram_hashes(h, window)[at], W.gram_hashes(W.mix(h), window)[at], doc[at], at - first[doc[at]], np.ones(len(at), np.int64), name[at]
     fresh = np.r_[True, (name[1:] != name[:-1]) | (doc[1:n] != doc[: n - 1])] & inside
     at = np.flatnonzero(fresh)
     stop = np.flatnonzero(np.r_[fresh[1:] | ~inside[1:], True] & inside) + 1
@@ -58,13 +62,15 @@ def _segments(h: np.ndarray, doc: np.ndarray, window: int, gram: int, single: bo
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[: len(h)], out=sums[1:])
     whole = W.mix((sums[stop + window - 1] - sums[at]) * down[at] + size.astype(np.uint64) * np.uint64(0x51ED270B))
-    return name[at], whole, doc[at], at - first[doc[at]], size
+    return name[at], whole, doc[at], at - first[doc[at]], size, name[at]
 
 
 _OCCURRENCE = "h long, s long, doc long, th long, start int, size int"
 
 
-def _occurrences(picked: DataFrame, window: int, gram: int, single: bool = False) -> DataFrame:
+def _occurrences(picked: DataFrame, window: int, gram: int, only: np.ndarray | None = None) -> DataFrame:
+    """Every segment; with ``only`` each window of the names whose bit is set there, and that name as ``of``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, th = batch.column("doc"), batch.column("th")
@@ -72,14 +78,15 @@ def _occurrences(picked: DataFrame, window: int, gram: int, single: bool = False
             for i, j in W.slices(offsets):
                 part = data[offsets[i] : offsets[j]]
                 start, end, doc = W.spans(part, offsets[i : j + 1] - offsets[i])
-                name, whole, d, at, size = _segments(W.word_hashes(part, start, end), doc, window, gram, single)
+                name, whole, d, at, size, of = _segments(W.word_hashes(part, start, end), doc, window, gram, only)
                 take = pa.array(d + i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), ids.take(take), th.take(take), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))],
-                    names=["h", "s", "doc", "th", "start", "size"],
-                )
+                columns = [pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), ids.take(take), th.take(take), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))]
+                if only is None:
+                    yield pa.RecordBatch.from_arrays(columns, names=["h", "s", "doc", "th", "start", "size"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(of.view(np.int64))], names=["h", "s", "doc", "th", "start", "size", "of"])
 
-    return picked.mapInArrow(run, _OCCURRENCE)
+    return picked.mapInArrow(run, _OCCURRENCE if only is None else f"{_OCCURRENCE}, of long")
 
 
 def _shared(found: DataFrame) -> DataFrame:
@@ -182,17 +189,20 @@ def _covered(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int
     distinct = cut(found.groupBy("h", "s").agg(F.min(F.struct("doc", "th", "start", "size")).alias("r")).select("h", "s", "r.*"))
     crowded = cut(distinct.groupBy("h").count().where(F.col("count") > NAME_ROWS).select("h"))
     if crowded.limit(1).count():
-        # windows of crowded names, each under its own hash
-        texts = picked.join(found.join(crowded, "h", "left_semi").select("doc", "th").distinct(), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
-        alone = _occurrences(texts, window, gram, single=True)
-        spots = found.join(crowded, "h", "left_semi").select("doc", "th", F.explode(F.sequence("start", F.expr("start + size - 1"))).alias("start")).distinct()
-        alone = cut(_shared(alone.join(spots, ["doc", "th", "start"], "left_semi").select("h", "s", "doc", "th", "start", "size")))
+        # windows of crowded names, each under its own hash; the texts stay where they are, and the bits of the names go to them
+        only = np.zeros(FILTER_WORDS, np.uint64)
+        for r in marks(crowded).toLocalIterator():
+            only[r["word"]] = r["bits"] % 2**64
+        alone = cut(_occurrences(picked, window, gram, only))
+        alone = cut(_shared(alone.join(crowded.withColumnRenamed("h", "of"), "of", "left_semi").select("h", "s", "doc", "th", "start", "size")))
         found = found.join(crowded, "h", "left_anti").unionByName(alone)
-        distinct = distinct.join(crowded, "h", "left_anti").unionByName(
-            alone.groupBy("h", "s").agg(F.min(F.struct("doc", "th", "start", "size")).alias("r")).select("h", "s", "r.*")
+        distinct = cut(
+            distinct.join(crowded, "h", "left_anti").unionByName(
+                alone.groupBy("h", "s").agg(F.min(F.struct("doc", "th", "start", "size")).alias("r")).select("h", "s", "r.*")
+            )
         )
     shards = max(2 * width_of(docs.sparkSession), distinct.count() // SHARD_ROWS + 1)
-    once = picked.dropDuplicates(["doc", "th"])
+    once = possible(picked, distinct.select("doc", "th"), "hit").where("hit").drop("hit").dropDuplicates(["doc", "th"])
     told = _search(_texts(once, distinct, window, shards), window)
     lost = found.join(told, ["h", "s"]).where("least < doc").select("doc", "th", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("size"))
     return lost.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("cuts"))
@@ -202,8 +212,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with n_words, n_removed, removed_spans (array of first word and number) and kept_text (kept words, one space between)."""
     docs = docs.drop(*[c for c in ("n_words", "n_removed", "removed_spans", "kept_text") if c not in (id_col, text_col)])
     gone = covered(docs, id_col, text_col, window, gram).select(F.col("doc").alias("_gone_doc"), F.col("th").alias("_gone_th"), F.col("cuts").alias("_gone_cuts"))
-    keyed = docs.withColumn("_gone_hash", F.xxhash64(text_col))
-    joined = keyed.join(gone, (F.col(id_col).cast("long") == F.col("_gone_doc")) & (F.col("_gone_hash") == F.col("_gone_th")), "left").drop("_gone_doc", "_gone_th", "_gone_hash")
+    keyed = docs.withColumn("_gone_doc", F.col(id_col).cast("long")).withColumn("_gone_th", F.xxhash64(text_col))
+    # most texts lose nothing and stay where they are
+    told = possible(keyed, gone.select("_gone_doc", "_gone_th"), "_gone_hit")
+    some = told.where("_gone_hit").join(gone, ["_gone_doc", "_gone_th"], "left")
+    joined = told.where("not _gone_hit").withColumn("_gone_cuts", F.lit(None).cast(gone.schema["_gone_cuts"].dataType)).unionByName(some).drop("_gone_doc", "_gone_th", "_gone_hit")
     text_at, cuts_at = joined.columns.index(text_col), joined.columns.index("_gone_cuts")
     extra = "n_words long, n_removed long, removed_spans array<struct<start: int, size: int>>, kept_text string"
     names = [c for c in joined.columns if c != "_gone_cuts"]

@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 
-from siltstone.llm import substring
+from siltstone.llm import common, substring
 from siltstone.llm.fmindex import FMIndex, WaveletMatrix
+from tests.llm.shuffled import shuffled_bytes
 
 
 def brute(rows, window):
@@ -57,6 +58,27 @@ def test_crowded_names(spark, monkeypatch):
     check(spark, rows_for(2))
 
 
+def test_texts_that_lose_nothing_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(substring, "NAME_ROWS", 2)
+    rng = random.Random(5)
+    word = lambda: f"{rng.getrandbits(60):x}"
+    rows = [(i, " ".join(word() for _ in range(700))) for i in range(100, 300)]
+    passage = [word() for _ in range(60)]
+    rows += [(i, " ".join([word() for _ in range(5)] + passage + [word() for _ in range(5)])) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    with shuffled_bytes(spark) as sent:
+        substring.remove_repeats(df).write.format("noop").mode("overwrite").save()
+    assert sent[0] < sum(len(t) for _, t in rows) / 4
+    check(spark, rows)
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(substring, "NAME_ROWS", 2)
+    monkeypatch.setattr(substring, "FILTER_WORDS", 1)
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
+    check(spark, rows_for(6))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.remove_repeats(df).count() == 0
